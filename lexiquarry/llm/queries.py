@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import elias_fano, mixing, packing
+from . import elias_fano, line_templates, mixing, packing, quality
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_lines(documents(spark, sf_dir), counted="n_dropped").select("doc_id", "text", "n_chars", "n_dropped")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with its probability that each is clean."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep(documents(spark, sf_dir), labels, score="p_clean").select("doc_id", "lang", "source", "n_chars", "p_clean")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_shards(documents(spark, sf_dir))
 
@@ -23,9 +33,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_packing": op3_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_line_dedup": line_templates.sql(),
+}
