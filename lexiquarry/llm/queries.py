@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import elias_fano, line_templates, mixing, packing, quality
+from . import elias_fano, line_templates, mixing, packing, quality, suffix_repeats
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.repeats(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with its probability that each is clean."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -35,6 +39,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_packing": op3_packing,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_quality_classifier": op5_quality_classifier,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
@@ -42,4 +47,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_templates.sql(),
+    "op4_suffix_repeats": suffix_repeats.sql(),
 }
