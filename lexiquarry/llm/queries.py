@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import elias_fano, line_templates, mixing, packing, quality, suffix_repeats
+from . import elias_fano, jaccard_join, line_templates, mixing, packing, quality, suffix_repeats
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep(documents(spark, sf_dir), labels, score="p_clean").select("doc_id", "lang", "source", "n_chars", "p_clean")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_shards(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
@@ -48,4 +53,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_line_dedup": line_templates.sql(),
     "op4_suffix_repeats": suffix_repeats.sql(),
+    "op7_jaccard_join": jaccard_join.sql(),
 }
