@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import elias_fano, jaccard_join, line_templates, mixing, packing, quality, suffix_repeats
+from . import elias_fano, identifiers, jaccard_join, line_templates, mixing, packing, quality, suffix_repeats
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
 
+def op8_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identifiers.find(documents(spark, sf_dir))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_shards(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_repeats": op4_suffix_repeats,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_identifiers": op8_identifiers,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
