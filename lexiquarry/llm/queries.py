@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import elias_fano, identifiers, jaccard_join, line_templates, mixing, packing, quality, suffix_repeats
+from . import elias_fano, identifiers, ivf_pq, jaccard_join, line_templates, mixing, packing, quality, suffix_repeats, va_file
 from .common import documents
 
 
@@ -14,6 +14,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_lines(documents(spark, sf_dir), counted="n_dropped").select("doc_id", "text", "n_chars", "n_dropped")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op2_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf_pq.search(embeddings(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -28,6 +36,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep(documents(spark, sf_dir), labels, score="p_clean").select("doc_id", "lang", "source", "n_chars", "p_clean")
 
 
+def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.search(embeddings(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
@@ -46,9 +58,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ivf_pq": op2_ivf_pq,
     "op3_packing": op3_packing,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_va_file": op6_va_file,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_identifiers": op8_identifiers,
     "op9_token_ids": op9_token_ids,
@@ -58,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_line_dedup": line_templates.sql(),
     "op4_suffix_repeats": suffix_repeats.sql(),
+    "op6_va_file": va_file.sql(),
     "op7_jaccard_join": jaccard_join.sql(),
 }
