@@ -210,6 +210,21 @@ def _probed(filed: DataFrame, model, d: int, probes: int, rerank: int) -> DataFr
     return queries.unionByName(passing).repartition("home", "part").sortWithinPartitions("home", "part", "cell", "block").mapInArrow(probe, ddl)
 
 
+def _centred(vectors: DataFrame, d: int) -> DataFrame:
+    """The vectors less their mean: products of far vectors would lose the digits that tell them apart."""
+    mean = np.array(vectors.agg(*[F.avg(F.col("v")[i]) for i in range(d)]).first(), np.float64)
+    ddl = "id bigint, v array<float>"
+    schema = arrow_schema(ddl)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = (matrix(batch.column(1), d) - mean).astype(np.float32)
+            offsets = pa.array(np.arange(0, len(v) * d + 1, d, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.ravel())).cast(schema.field(1).type)], schema=schema)
+
+    return vectors.mapInArrow(move, ddl)
+
+
 def search(table: DataFrame, k: int = K, id_name: str = "vec_id", vector_name: str = "embedding", cells: float = CELLS, probe: float = PROBE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """About the k nearest other vectors of every vector: vec_id, rank, neighbor_id, distance (exact, Euclidean, 6 digits).
 
@@ -225,9 +240,10 @@ def search(table: DataFrame, k: int = K, id_name: str = "vec_id", vector_name: s
     n = vectors.count()
     if not n:
         return spark.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, distance double")
-    centres = coarse(vectors, max(1, round(cells * math.sqrt(n))), d)
-    model = spark.sparkContext.broadcast((centres, codebooks(vectors, centres, d)))  # cells and codewords
-    filed = tables.write(_filed(vectors, model, d, block), "filed")
+    centred = tables.write(_centred(vectors, d), "centred")
+    centres = coarse(centred, max(1, round(cells * math.sqrt(n))), d)
+    model = spark.sparkContext.broadcast((centres, codebooks(centred, centres, d)))  # cells and codewords
+    filed = tables.write(_filed(centred, model, d, block), "filed")
     pairs = tables.write(_probed(filed, model, d, max(1, math.ceil(probe * len(centres))), max(rerank, k)), "pairs")
     tables.drop(filed)
     return ranked(measured(pairs, vectors, d), k)

@@ -27,7 +27,7 @@ def clean(table: DataFrame, tables: Tables, id_name: str = "vec_id", vector_name
     usable = table.select(column(table, id_name).cast("bigint").alias("id"), v.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('infinity'))")
     top = usable.filter("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = top["d"] if top else 0
-    return tables.write(usable.filter(F.size("v") == d).groupBy("id").agg(F.max("v").alias("v")), "vectors"), d
+    return tables.write(usable.filter((F.size("v") == d) & (F.size("v") > 0)).groupBy("id").agg(F.max("v").alias("v")), "vectors"), d
 
 
 def matrix(values: pa.Array, d: int) -> np.ndarray:
