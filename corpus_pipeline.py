@@ -1,19 +1,59 @@
-"""A corpus, cleaned, deduplicated, mixed and packed: five stages over documents."""
+"""A training corpus from raw documents: filtered, cleaned, deduplicated, mixed and packed.
+
+Each stage takes the session, the documents that the stage before kept and
+the folder of the tables.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiquarry.llm import packing
+from lexiquarry.llm import jaccard_join, line_templates, mixing, packing, quality
+from lexiquarry.llm.common import Tables, documents
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines whose template recurs."""
+    return line_templates.drop_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return jaccard_join.distinct_documents(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as came in, in blocks drawn by the sources' weights; a row for each document's share of a block."""
+    return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of token ids."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", mixing_sources),
+    ("packing", packed),
+]
+
+#: A fitted classifier and a tokenizer's merges are nothing that SQL can express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    tables = Tables(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if k == len(STAGES) - 1 else tables.write(out, f"stage{k}")
+    return docs

@@ -234,3 +234,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("first", "doc_id", "text"))).alias("p"),
     )
     return rows.select("shard", "slot", "source", "block", "epoch", "n_tokens", F.expr("p.doc_id").alias("doc_ids"), F.concat_ws("", F.expr("p.text")).alias("text"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as a table of documents, in its order: each row is what a block holds of one document.
+
+    The columns are doc_id, text, lang, source and n_chars, the length of
+    the row's text.  Shards follow one another whole, slots and documents
+    within them in order.
+    """
+    pieces = mix_pieces(docs, **options).repartition("shard").sortWithinPartitions("shard", "slot", "first")
+    return pieces.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
