@@ -7,9 +7,12 @@ by a coarse count of the gram over all documents (rare ones first), ties
 broken by a hash; the others likewise with other hashes.  The pairs that all
 orders let through are verified on their whole sets.
 
-The counts come from a table of fixed size that all documents add to; they
-only decide the order, and the result is the same whatever they are.  Equal
-texts are one text until the end.  A pair that shares many prefix grams is
+The counts come from two hashed tables that all documents add to: a coarse
+one of counts, and a bitmap with a bit for each cell that two documents or
+more have touched.  The order follows from them, and the result is the same
+whatever they are; but a gram whose cell no other document has touched is
+nowhere else, and though it takes its place in the prefix no posting of it is
+made.  Equal texts are one text until the end.  A pair that shares many prefix grams is
 taken at the first of them in the order: a posting carries the first two
 grams of its text, which tells nearly always.
 """
@@ -17,7 +20,6 @@ grams of its text, which tells nearly always.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,10 @@ from .textvec import mix, ngram_sets
 N = 3
 THRESHOLD = 0.5
 ORDERS = 2
-#: Cells of the table of counts: 2 ** COUNT_BITS bytes go to every task.
-COUNT_BITS = 24
+#: The bitmap of shared cells has about two bits a gram, but 2 ** MAX_BITS at most (128 MB); it goes to every task.
+#: Beyond that more grams share cells, and more postings and candidates are made.
+MAX_BITS = 30
+COARSE_BITS = 20
 #: Texts that one task verifies among each other; larger components are divided into blocks, and every pair of blocks is a task.
 BLOCK_TEXTS = 1500
 #: Tables of up to so many rows of two numbers are sent to every task instead of shuffling the texts.
@@ -49,44 +53,84 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text_key(text).alias("key"), text.alias("text"), column(docs, "doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def gram_counts(texts: DataFrame, n: int, bits: int = COUNT_BITS) -> np.ndarray:
-    """For each cell of a table, twice the logarithm of how many texts have a gram that falls into it."""
-    ddl = "chunk int, data binary"
+def _bits(cells: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size >> 3, np.uint8)
+    np.bitwise_or.at(out, cells >> 3, np.left_shift(1, cells & 7).astype(np.uint8))
+    return out
+
+
+def gram_tables(texts: DataFrame, n: int, bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmap of the cells that two rows or more have a gram in; for the cells of a coarser table, twice the logarithm of their counts."""
+    if bits is None:
+        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        bits = min(max(int(math.log2(max(chars / 6, 1))) + 1, 16), MAX_BITS)
+    ddl = "chunk int, once binary, twice binary, counts binary"
     schema = arrow_schema(ddl)
-    size = (1 << bits) // _CHUNKS
+    part, coarse = (1 << bits) // _CHUNKS, (1 << COARSE_BITS) // _CHUNKS
+    shift, coarse_shift = np.uint64(64 - bits), np.uint64(64 - COARSE_BITS)
+
+    def packed(x: np.ndarray) -> bytes:
+        return len(x).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(x.tobytes(), asbytes=True)
+
+    def unpacked(data: bytes, kind) -> np.ndarray:
+        return np.frombuffer(pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little") * np.dtype(kind).itemsize, asbytes=True), kind)
+
+    def row(k: int, once: np.ndarray, twice: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([packed(x)], pa.binary()) for x in (once, twice, counts))], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint32)
+        once = twice = None
+        counts = np.zeros(1 << COARSE_BITS, np.uint32)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal once, twice, held, size
+            cells, times = np.unique(np.concatenate(held), return_counts=True)
+            mine, more = _bits(cells.astype(np.int64), 1 << bits), _bits(cells[times > 1].astype(np.int64), 1 << bits)
+            twice = more if twice is None else twice | more | (once & mine)
+            once = mine if once is None else once | mine
+            held, size = [], 0
+
         for batch in batches:
             for grams in ngram_sets((t.as_py() for t in batch.column(0)), n):
-                np.add.at(cells, grams >> np.uint64(64 - bits), np.uint32(1))
-        if cells.any():
-            cells = np.minimum(cells, 255).astype(np.uint8)
+                np.add.at(counts, grams >> coarse_shift, np.uint32(1))
+                held.append(np.unique(grams >> shift))
+                size += len(grams)
+                if size > 4_000_000:
+                    settle()
+        if held:
+            settle()
+        if once is not None:
             for k in range(_CHUNKS):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(cells[k * size : (k + 1) * size].tobytes(), 1)], pa.binary())], schema=schema)
+                yield row(k, once[k * part >> 3 : (k + 1) * part >> 3], twice[k * part >> 3 : (k + 1) * part >> 3], counts[k * coarse : (k + 1) * coarse])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        totals: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), np.uint8)
-                totals[k] = totals[k] + part if k in totals else part.astype(np.uint32)
-        for k, total in totals.items():
-            bands = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(bands.tobytes(), 1)], pa.binary())], schema=schema)
-
-    out = np.zeros(1 << bits, np.uint8)
-    for k, data in texts.select("text").mapInArrow(count, ddl).repartition("chunk").mapInArrow(add, ddl).collect():  # 2 ** bits bytes at most
-        out[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(bytes(data)), np.uint8)
-    return out
+            for k, *data in zip(*(c.to_pylist() for c in batch.columns)):
+                once, twice, counts = unpacked(data[0], np.uint8), unpacked(data[1], np.uint8), unpacked(data[2], np.uint32)
+                if k in totals:
+                    t = totals[k]
+                    totals[k] = [t[0] | once, t[1] | twice | (t[0] & once), t[2] + counts]
+                else:
+                    totals[k] = [once, twice, counts.astype(np.uint64)]
+        for k, (_, twice, counts) in totals.items():
+            yield row(k, np.empty(0, np.uint8), twice, np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8))
+
+    shared, bands = np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << COARSE_BITS, np.uint8)
+    for k, _, twice, counts in texts.select("text").mapInArrow(count, ddl).repartition("chunk").mapInArrow(add, ddl).collect():  # of bounded size
+        shared[k * part >> 3 : (k + 1) * part >> 3] = unpacked(bytes(twice), np.uint8)
+        bands[k * coarse : (k + 1) * coarse] = unpacked(bytes(counts), np.uint8)
+    return shared, bands
 
 
 def prefix_length(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1
 
 
-def _postings(texts: DataFrame, n: int, t: float, bands, bits: int, seed: int) -> DataFrame:
-    """Prefix grams of each text under one order.
+def _postings(texts: DataFrame, n: int, t: float, tables, seed: int) -> DataFrame:
+    """Prefix grams of each text under one order, but for those that no other row has.
 
     A row has the gram, the text's key, its first and its second gram in the
     order (44 bits each), and in what these leave the size of the set and the
@@ -97,7 +141,8 @@ def _postings(texts: DataFrame, n: int, t: float, bands, bits: int, seed: int) -
     salt = np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = bands.value
+        shared, bands = tables.value
+        shift, coarse_shift = np.uint64(64 - (len(shared) * 8).bit_length() + 1), np.uint64(64 - COARSE_BITS)
         for batch in batches:
             keys = batch.column(0).to_numpy()
             out: list[tuple[np.ndarray, ...]] = []
@@ -110,14 +155,20 @@ def _postings(texts: DataFrame, n: int, t: float, bands, bits: int, seed: int) -
                 size = len(grams)
                 if not size:
                     continue
-                rank = band[grams >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(56) | mix(grams ^ salt) >> np.uint64(8)
+                cell = grams >> shift
+                known = (shared[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
+                rank = np.where(known, bands[grams >> coarse_shift] + np.uint8(1), np.uint8(0)).astype(np.uint64) << np.uint64(56) | mix(grams ^ salt) >> np.uint64(8)
                 p = prefix_length(size, t)
-                first = np.argsort(rank, kind="stable")[:p] if p < size else np.argsort(rank, kind="stable")
+                first = np.argsort(rank, kind="stable")[:p]
                 mine = grams[first]
+                sent = known[first].astype(bool)
                 lead = (mine[0] & _HIGH) | np.uint64(min(size, int(_LOW)))
                 places = np.minimum(np.arange(p), int(_LOW)).astype(np.uint64)
-                out.append((mine, np.full(p, key), np.full(p, lead), (mine[min(1, p - 1)] & _HIGH) | places))
-                held += p
+                k = int(sent.sum())
+                if not k:
+                    continue
+                out.append((mine[sent], np.full(k, key), np.full(k, lead), ((mine[min(1, p - 1)] & _HIGH) | places)[sent]))
+                held += k
                 if held > 200_000:
                     yield flush()
                     out, held = [], 0
@@ -242,17 +293,17 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, t: float, tables: Tabl
     return members.unionByName(work).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.col("b").asc_nulls_first(), "a").mapInArrow(verify, ddl)
 
 
-def similar_texts(docs: DataFrame, n: int = N, t: float = THRESHOLD, orders: int = ORDERS, bits: int = COUNT_BITS, block_texts: int = BLOCK_TEXTS, sent_rows: int = SENT_ROWS, tables: Tables | None = None) -> DataFrame:
+def similar_texts(docs: DataFrame, n: int = N, t: float = THRESHOLD, orders: int = ORDERS, bits: int | None = None, block_texts: int = BLOCK_TEXTS, sent_rows: int = SENT_ROWS, tables: Tables | None = None) -> DataFrame:
     """Pairs of different texts, by their keys: a, b, jaccard."""
     if not 0 < t <= 1 or n < 1 or orders < 1:
         raise ValueError("0 < t <= 1, n >= 1 and orders >= 1")
     spark = docs.sparkSession
     tables = tables or Tables(spark, "jaccard")
     texts = _texts(docs)
-    bands = spark.sparkContext.broadcast(gram_counts(texts, n, bits))
+    hashed = spark.sparkContext.broadcast(gram_tables(texts, n, bits))
     pairs = None
     for order in range(orders):
-        found = tables.write(_met(_postings(texts, n, t, bands, bits, order), t), "met")
+        found = tables.write(_met(_postings(texts, n, t, hashed, order), t), "met")
         if pairs is not None:
             both = tables.write(pairs.join(found, ["a", "b"], "left_semi"), "met")
             tables.drop(pairs, found)
