@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..fields import Fields
 from ..functions import kernels
-from ..functions.ranking import AVERAGE, NUDGE, bm25, estimated_documents, idf_value, word_range
+from ..functions.ranking import AVERAGE, NUDGE, bm25, estimated_documents, idf as idf_column, idf_value, word_range
 from ..functions.text import strmatch
 from ..plans.parser import Node, operator, parse_query, words
 from . import analysis
