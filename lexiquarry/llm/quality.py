@@ -87,7 +87,7 @@ def _counts(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.nda
         ids, weights = [], []
         for kind, x in enumerate((one, two, np.concatenate(chars) if chars else np.empty(0, np.uint32))):
             u, n = np.unique(x, return_counts=True)
-            ids.append(u.astype(np.int64) + (kind << bits))
+            ids.append(u.astype(np.int32) + np.int32(kind << bits))
             weights.append(n / (len(x) + PRIOR[kind]))
         out.append((np.concatenate(ids), np.concatenate(weights).astype(np.float32)))
     return out
@@ -98,8 +98,12 @@ def train(texts: list[str | None], classes: np.ndarray, bits: int = BITS, dim: i
     rng = np.random.default_rng(seed)
     docs = _counts(texts, bits)
     size = 3 << bits
-    seen = np.bincount(np.concatenate([i for i, _ in docs]), minlength=size) >= MIN_SEEN
-    docs = [(i[seen[i]], w[seen[i]]) for i, w in docs]
+    seen = np.zeros(size, np.int32)
+    for i, _ in docs:
+        seen[i] += 1  # a text's features are distinct
+    seen = seen >= MIN_SEEN
+    for d, (i, w) in enumerate(docs):  # in place: the driver holds them once
+        docs[d] = i[seen[i]], w[seen[i]]
     k = len(CLASSES)
     vectors = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
     layer = rng.normal(0, 0.5, (dim, k)).astype(np.float32)
