@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template recurs."""
-    return line_templates.drop_lines(docs)
+    """All documents, without lines whose template recurs, however short they are."""
+    return line_templates.drop_lines(docs, min_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
