@@ -94,8 +94,12 @@ def _lines(docs: DataFrame, depth: int, min_words: int, min_docs: int) -> DataFr
     return docs.select(text.alias("text"), text_key(text).alias("key")).mapInArrow(collect, ddl)
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, tables: Tables | None = None) -> DataFrame:
-    """Masked lines whose template at least min_docs different texts share: line, template."""
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, fields_differ: bool = True, tables: Tables | None = None) -> DataFrame:
+    """Masked lines whose template at least min_docs different texts share: line, template.
+
+    Words with a digit count as not constant in ``similarity``, or, without
+    fields_differ, not at all; a line of nothing else has no template then.
+    """
     tables = tables or Tables(docs.sparkSession, "lines")
     leaf = Window.partitionBy("leaf")
 
@@ -123,7 +127,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WO
         .agg(
             F.first("texts").alias("texts"),
             F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(fixed, F.col("word")).otherwise(WILD).alias("w")))), lambda x: x["w"])).alias("template"),
-            F.avg(fixed.cast("double")).alias("alike"),
+            F.avg(fixed.cast("double") if fields_differ else F.when(F.col("word") != WILD, fixed.cast("double"))).alias("alike"),
         )
         .filter(F.col("alike") >= similarity)
         .select("line", "texts", "template")
@@ -148,7 +152,15 @@ def _strip(text: str | None, gone, min_words: int, max_share: float) -> tuple[st
 
 
 def drop_lines(
-    docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_share: float = MAX_SHARE, counted: str | None = None, set_lines: int = SET_LINES
+    docs: DataFrame,
+    depth: int = DEPTH,
+    min_words: int = MIN_WORDS,
+    min_docs: int = MIN_DOCS,
+    similarity: float = SIMILARITY,
+    max_share: float = MAX_SHARE,
+    counted: str | None = None,
+    set_lines: int = SET_LINES,
+    fields_differ: bool = True,
 ) -> DataFrame:
     """The table with text (and n_chars, where there is one) without recurring lines; every row stays.
 
@@ -157,6 +169,8 @@ def drop_lines(
     min_docs different texts have it there in the same leaf.  The line goes if
     at least ``similarity`` of its words are constant and at least min_docs
     different texts have lines of its template; equal texts count as one.
+    Words with a digit are fields: they count as not constant, or, without
+    fields_differ, neither way, so that any number of them may vary.
     A document of which more than max_share (by characters) would go is a
     copy rather than a carrier of boilerplate and is left whole, for a
     deduplication of documents to judge.
@@ -169,7 +183,7 @@ def drop_lines(
     require(docs, ["text"])
     spark = docs.sparkSession
     tables = Tables(spark, "lines")
-    recurring = recurring_lines(docs, depth, min_words, min_docs, similarity, tables)
+    recurring = recurring_lines(docs, depth, min_words, min_docs, similarity, fields_differ, tables)
     n, size = recurring.agg(F.count("*"), F.coalesce(F.sum(F.length("line")), F.lit(0))).first()
     held = free_name(docs, "stripped")
     kind = "text string, n int"

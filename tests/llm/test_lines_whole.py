@@ -22,3 +22,18 @@ def test_short_lines_go(spark):
     rows = ["\n".join([own(i, 0), short[i % 4], "", own(i, 1), str(i)]) for i in range(48)] + [own(99, 0) + "\nRead on"]
     want = ["\n".join([own(i, 0), "", own(i, 1), str(i)]) for i in range(48)] + rows[48:]
     assert dedup(spark, rows) == want
+
+
+def test_templates_of_many_fields_go(spark):
+    name = lambda i, c: c + "".join("abcdefghij"[int(d)] for d in str(i))
+    lines = [
+        lambda i: f"User {i} logged in at 12:{i}",  # 2 of 6 words vary
+        lambda i: f"Page {i} of {i + 9} | Printed 2021-03-{i}",  # 3 of 7
+        lambda i: f"Took {i}ms {i}kB {i}%",  # 3 of 4
+        lambda i: f"Order was sent {name(i, 'x')} {name(i, 'y')} from {name(i, 'z')}",  # 3 of 7, without digits
+        lambda i: f"Dear guest of {' '.join(name(i, c) for c in 'pqrs')}",  # 4 of 7
+    ]
+    rows = ["\n".join([own(i, 0), lines[i % 5](i), own(i, 1), f"{i} {i + 1}"]) for i in range(60)]
+    rows += ["\n".join([own(i, 0), f"it is the {' '.join(name(i, c) for c in 'pqrst')}"]) for i in range(60, 80)]  # 5 of 8: prose that begins alike
+    want = ["\n".join([own(i, 0), own(i, 1), f"{i} {i + 1}"]) for i in range(60)] + rows[60:]
+    assert dedup(spark, rows) == want
