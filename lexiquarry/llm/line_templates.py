@@ -23,7 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jaccard_join
 from .common import Tables, arrow_schema, column, free_name, require, text_key
+from .components import components
 
 DEPTH = 3
 MIN_WORDS = 5
@@ -139,14 +141,56 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WO
     return out
 
 
-def _strip(text: str | None, gone, min_words: int, max_share: float) -> tuple[str | None, int]:
+def _apart(docs: DataFrame, recurring: DataFrame, min_words: int, min_docs: int, tables: Tables) -> DataFrame:
+    """Of recurring lines, those whose template min_docs texts share if near copies count as one text: line, template.
+
+    Texts that would lose more than MAX_SHARE are the ones that may be near
+    copies; the similar ones among them are found by their Jaccard similarity.
+    """
+    ddl = "key bigint, hash bigint, size bigint, whole bigint"
+    schema = arrow_schema(ddl)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The masked lines of each text and how many characters its lines of that kind have."""
+        for batch in batches:
+            rows: list[list[int]] = [[], [], [], []]
+            for t, key in zip(batch.column(0), batch.column(1).to_pylist()):
+                mine: dict[int, int] = {}
+                whole = t.as_py() or ""
+                for line in whole.split("\n"):
+                    if (x := masked(line, min_words)) is not None:
+                        h = _hash(x)
+                        mine[h] = mine.get(h, 0) + len(line)
+                for values, more in zip(rows, ([key] * len(mine), mine, mine.values(), [len(whole)] * len(mine))):
+                    values += more
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=schema)
+
+    @F.pandas_udf("bigint")
+    def hash_of(lines: pd.Series) -> pd.Series:
+        return lines.map(_hash).astype("int64")
+
+    text = column(docs, "text")
+    mine = docs.select(text.alias("text"), text_key(text).alias("key")).mapInArrow(sizes, ddl)
+    hits = tables.write(mine.join(recurring.select(hash_of("line").alias("hash"), "template"), "hash"), "hits")
+    heavy = hits.groupBy("key", "hash").agg(F.first("size").alias("size"), F.first("whole").alias("whole")).groupBy("key").agg((F.sum("size") > MAX_SHARE * F.first("whole")).alias("heavy")).filter("heavy").select("key")
+    texts = docs.select(text.alias("text"), text_key(text).alias("key")).join(heavy, "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text")
+    texts = tables.write(texts, "heavy")
+    roots = components(jaccard_join.similar_texts(texts, tables=tables), tables)
+    counted = hits.select("key", "template").distinct().join(roots, F.col("key") == F.col("node"), "left")
+    shared = counted.groupBy("template").agg(F.countDistinct(F.coalesce("root", "key")).alias("n")).filter(F.col("n") >= min_docs).select("template")
+    out = tables.write(recurring.join(shared, "template", "left_semi").select("line", "template"), "apart")
+    tables.drop(recurring, hits, texts)
+    return out
+
+
+def _strip(text: str | None, gone, min_words: int, max_share: float | None) -> tuple[str | None, int]:
     """The text without the lines in gone, and how many went; unchanged if they make up more than max_share of it."""
     if not text:
         return text, 0
     lines = text.split("\n")
     drop = [(name := masked(x, min_words)) is not None and gone(name) for x in lines]
     n = sum(drop)
-    if not n or sum(len(x) for x, d in zip(lines, drop) if d) > max_share * len(text):
+    if not n or (max_share is not None and sum(len(x) for x, d in zip(lines, drop) if d) > max_share * len(text)):
         return text, 0
     return "\n".join(x for x, d in zip(lines, drop) if not d), n
 
@@ -157,7 +201,7 @@ def drop_lines(
     min_words: int = MIN_WORDS,
     min_docs: int = MIN_DOCS,
     similarity: float = SIMILARITY,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = MAX_SHARE,
     counted: str | None = None,
     set_lines: int = SET_LINES,
     fields_differ: bool = True,
@@ -173,7 +217,10 @@ def drop_lines(
     fields_differ, neither way, so that any number of them may vary.
     A document of which more than max_share (by characters) would go is a
     copy rather than a carrier of boilerplate and is left whole, for a
-    deduplication of documents to judge.
+    deduplication of documents to judge.  With a max_share of None lines go
+    whatever their share, and copies are told by comparison instead: texts
+    that would lose more than MAX_SHARE and are connected by a Jaccard
+    similarity as in ``jaccard_join`` count as one of the min_docs.
 
     Null and empty texts stay as they are; repeated rows are treated alike
     and count once; an empty table gives an empty one; ids may be null and
@@ -184,6 +231,8 @@ def drop_lines(
     spark = docs.sparkSession
     tables = Tables(spark, "lines")
     recurring = recurring_lines(docs, depth, min_words, min_docs, similarity, fields_differ, tables)
+    if max_share is None:
+        recurring = _apart(docs, recurring, min_words, min_docs, tables)
     n, size = recurring.agg(F.count("*"), F.coalesce(F.sum(F.length("line")), F.lit(0))).first()
     held = free_name(docs, "stripped")
     kind = "text string, n int"

@@ -37,3 +37,13 @@ def test_templates_of_many_fields_go(spark):
     rows += ["\n".join([own(i, 0), f"it is the {' '.join(name(i, c) for c in 'pqrst')}"]) for i in range(60, 80)]  # 5 of 8: prose that begins alike
     want = ["\n".join([own(i, 0), own(i, 1), f"{i} {i + 1}"]) for i in range(60)] + rows[60:]
     assert dedup(spark, rows) == want
+
+
+def test_lines_go_whatever_their_share_but_copies_stay(spark):
+    header = "\n".join(own(900, k) for k in range(3))
+    rows = [f"{header}\n{own(i, 0)}\n{own(i, 1)}" for i in range(12)]  # 60 % in common: a similarity under 0.5
+    copy = [own(800, k) for k in range(8)]
+    rows += ["\n".join([*copy[:4], own(i, 0), *copy[5:]]) for i in range(20, 40)]
+    rows += ["\n".join([header, own(40, 0)])]
+    want = [f"{own(i, 0)}\n{own(i, 1)}" for i in range(12)] + rows[12:32] + [own(40, 0)]
+    assert dedup(spark, rows) == want
