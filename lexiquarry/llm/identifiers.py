@@ -25,7 +25,9 @@ CONFIDENCE = 0.5
 SUPPORT = 3
 #: What an instance of unknown kind weighs against a pattern, next to one of another kind.
 UNKNOWN = 0.05
-MAX_WORDS = 4
+#: Candidates go on to the end of a run of marked words; in a run of more than RUN_WORDS, such as a row of a table, up to
+#: LONG_WORDS, which no recogniser exceeds (a phone has five) nor any common identifier (the longest IBAN has nine groups).
+RUN_WORDS, LONG_WORDS = 32, 9
 
 _WORD = re.compile(r"\S+")
 _MARKED = re.compile(r"[0-9@]")
@@ -94,7 +96,7 @@ def patterns(entity: str, left: str, right: str) -> set[str]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """Runs of up to MAX_WORDS marked words: start, end, entity in lower case, words to the left, word to the right."""
+    """Runs of marked words: start, end, entity in lower case, words to the left, word to the right."""
     if not _MARKED.search(text):
         return
     words = []
@@ -103,16 +105,20 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str]]:
         at = m.start() + m[0].find(core) if core else m.start()
         words.append((at, at + len(core), core.lower(), bool(_MARKED.search(core))))
     plain = lambda k: words[k][2] if 0 <= k < len(words) and not words[k][3] else ""
+    last = list(range(len(words)))  # of the run that a word is in
+    for i in range(len(words) - 2, -1, -1):
+        if words[i][3] and words[i + 1][3] and not text.count("\n", words[i][1], words[i + 1][0]):
+            last[i] = last[i + 1]
+    begin = 0
     for i, (start, _, _, marked) in enumerate(words):
+        if not i or last[i] != last[i - 1]:
+            begin = i
         if not marked:
             continue
         sign = _ASSIGNED.search(text, max(0, start - 40), start)
         left = f"{sign[1].strip(_EDGE).lower()} {sign[2]}" if sign else plain(i - 1)
-        for j in range(i, min(i + MAX_WORDS, len(words))):
-            if not words[j][3]:
-                break
-            if j > i and text.count("\n", words[j - 1][1], words[j][0]):
-                break
+        stop = last[i] if last[i] - begin < RUN_WORDS else min(last[i], i + LONG_WORDS - 1)
+        for j in range(i, stop + 1):
             yield start, words[j][1], " ".join(w[2] for w in words[i : j + 1]), left, plain(j + 1)
 
 
