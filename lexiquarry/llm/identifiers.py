@@ -1,6 +1,7 @@
 """Operator 8: personal identifiers and secrets, by bootstrapping.
 
-Candidates are runs of words with a digit or an at sign in them.  Strict
+Candidates are runs of words with a digit or an at sign in them, and any word
+that is assigned to a name, as in ``name: word`` or ``name=word``.  Strict
 recognisers name some of them: the seeds.  Every candidate is tied to lexical
 patterns: its shape, its head and tail, the words on either side.  Seeds lend
 their kind to patterns, patterns in which one kind prevails lend it to their
@@ -31,6 +32,7 @@ RUN_WORDS, LONG_WORDS = 32, 9
 
 _WORD = re.compile(r"\S+")
 _MARKED = re.compile(r"[0-9@]")
+_SLOT = re.compile(r"[0-9@=:]")
 _EDGE = " .,;:!?\"'`*#$%&|<>[]{}~^…«»“”"
 _RUN = re.compile(r"[^\W_]+|[\W_]")
 _EMAIL = re.compile(r"[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}")
@@ -39,6 +41,7 @@ _IP = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})")
 _CARD = re.compile(r"[3-6][0-9]{12,18}|[3-6][0-9]{3}([ -][0-9]{4}){3}")
 _KEY = re.compile(r"akia[0-9a-z]{16}|(password|passwd|pwd|secret|token|api[_-]?key)[=:]\S*[0-9]\S*")
 _ASSIGNED = re.compile(r"([^\s=:]+)\s*([=:])\s*[\"'`]?$")
+_ASSIGNS = re.compile(r"[^\s=:]+[=:].*[^\W_]")
 _NAMED = re.compile(r"(password|passwd|pwd|secret|token|api[_-]?key) ?[=:]")
 
 
@@ -60,7 +63,7 @@ def seed_kind(entity: str, left: str) -> str | None:
         return "ip"
     if _CARD.fullmatch(entity) and _luhn(re.sub(r"\D", "", entity)):
         return "card"
-    if _KEY.fullmatch(entity) or (" " not in entity and len(entity) >= 12 and _NAMED.fullmatch(left)):
+    if _KEY.fullmatch(entity) or (" " not in entity and len(entity) >= 12 and _MARKED.search(entity) and _NAMED.fullmatch(left)):
         return "secret"
     return None
 
@@ -96,8 +99,8 @@ def patterns(entity: str, left: str, right: str) -> set[str]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """Runs of marked words: start, end, entity in lower case, words to the left, word to the right."""
-    if not _MARKED.search(text):
+    """Runs of marked words and single assigned ones: start, end, entity in lower case, words to the left, word to the right."""
+    if not _SLOT.search(text):
         return
     words = []
     for m in _WORD.finditer(text):
@@ -113,9 +116,9 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     for i, (start, _, _, marked) in enumerate(words):
         if not i or last[i] != last[i - 1]:
             begin = i
-        if not marked:
-            continue
         sign = _ASSIGNED.search(text, max(0, start - 40), start)
+        if not marked and not (_ASSIGNS.match(words[i][2]) or (sign and "\n" not in sign[0] and any(c.isalnum() for c in words[i][2]))):
+            continue
         left = f"{sign[1].strip(_EDGE).lower()} {sign[2]}" if sign else plain(i - 1)
         stop = last[i] if last[i] - begin < RUN_WORDS else min(last[i], i + LONG_WORDS - 1)
         for j in range(i, stop + 1):
@@ -142,7 +145,7 @@ def _found(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     text = column(docs, "text")
-    marked = docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    marked = docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).filter(F.col("text").rlike(_SLOT.pattern))
     return marked.mapInArrow(find, FOUND)
 
 

@@ -21,3 +21,13 @@ def test_candidates_of_a_long_row_grow_with_its_length():
     counts = [len(list(identifiers.candidates(" ".join(["12"] * n)))) for n in (32, 1000, 2000)]
     assert counts[0] == 32 * 33 // 2 and counts[2] < 2.01 * counts[1]
     assert max(e.count(" ") for _, _, e, _, _ in identifiers.candidates("x " + "1234 " * 6 + "y")) == 5
+
+
+def test_words_without_digits_are_found_where_seeds_stand(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghkmnpqrst") for _ in range(n))
+    seeds = [f'password = "{letters(10)}{i}{letters(4)}" api_key: {letters(9)}{i}{letters(6)} pwd={letters(6)}{i}' for i in range(8)]
+    plain = ['password = "correcthorsebattery"', "api_key: QWERTYUIOPASDFGH", "pwd=swordfish"]
+    rows = list(enumerate([*seeds, *(f"we know {x} of old" for x in plain), "title: whatever it is\nwords: password\nnothing here"]))
+    got = {(r.doc_id, r.kind, r.entity) for r in identifiers.find(spark.createDataFrame(rows, DDL)).collect() if r.doc_id >= 8}
+    assert got == {(8, "secret", "correcthorsebattery"), (9, "secret", "QWERTYUIOPASDFGH"), (10, "secret", "pwd=swordfish")}
