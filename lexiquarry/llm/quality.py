@@ -153,13 +153,15 @@ def probabilities(model: Model, texts: list[str | None]) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pd.DataFrame:
     """At most per_class labelled documents of each class, by the hash of their ids: text, class.
 
-    Labels with a null are left out, as are labelled ids without a document;
+    Labels with a null are left out, as are labelled ids without a document,
+    before the bound is applied;
     of several labels or texts of an id, one is taken, always the same.
     """
     require(labels, ["doc_id", "quality", "toxic"])
     q, x = column(labels, "quality"), column(labels, "toxic")
     kind = F.when(x == 1, 2).when(q == 0, 1).otherwise(0)
     known = labels.filter(q.isNotNull() & x.isNotNull() & column(labels, "doc_id").isNotNull()).select(column(labels, "doc_id").cast("bigint").alias("id"), kind.alias("class"))
+    known = known.join(docs.select(column(docs, "doc_id").cast("bigint").alias("id")), "id", "left_semi")
     order = [F.xxhash64("id"), F.col("id")]
     chosen = None
     for k in range(len(CLASSES)):
