@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 Entry = tuple[int, int, float, list[tuple[int, int]]]
-LIMIT = 0x10000
 BEFORE, AFTER, REACH, LEAST = 30, 60, 100, 1e-3
 BREAKS = frozenset(".!?:;,")
 ELLIPSIS = "…"
@@ -26,7 +25,7 @@ def all_of(operands: list[list[Entry]]) -> list[Entry]:
         return []
     at = [0] * len(operands)
     out: list[Entry] = []
-    while len(out) < LIMIT:
+    while True:
         heads = [x[i] for x, i in zip(operands, at)]
         lower, upper = min(h[0] for h in heads), max(h[1] for h in heads)
         rest = 1.0
@@ -76,7 +75,7 @@ def fuzzy(operands: list[list[Entry]], ranges: list[float], orders: list[int], q
     def open_(k: int) -> bool:
         return at[k] < len(heads[k])
 
-    while len(out) < LIMIT:
+    while True:
         owner, lower, place = -1, 0, 0
         scalar = square = total = 0.0
         k = 0
