@@ -12,9 +12,14 @@ one of counts, and a bitmap with a bit for each cell that two documents or
 more have touched.  The order follows from them, and the result is the same
 whatever they are; but a gram whose cell no other document has touched is
 nowhere else, and though it takes its place in the prefix no posting of it is
-made.  Equal texts are one text until the end.  A pair that shares many prefix grams is
-taken at the first of them in the order: a posting carries the first two
-grams of its text, which tells nearly always.
+made.  Equal texts are one text until the end.  A pair that shares many prefix
+grams is taken at one of them, the most frequent: a posting carries the LEADS
+most frequent ones of its text, which tells nearly always.
+
+What the verification finds isn't brought together pair by pair.  A task adds
+up how many documents each of its texts is similar to, and gives a forest of
+its similar texts: connected components and numbers of links follow from rows
+that grow with the texts, however many pairs they make.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ SENT_ROWS = 500_000
 _CHUNKS = 64
 _LOW = np.uint64((1 << 20) - 1)
 _HIGH = ~_LOW
+#: Prefix grams that a posting carries to tell at which one of them a pair is taken.
+LEADS = 4
 _PAIRS = 1 << 19
 
 
@@ -53,6 +60,26 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text_key(text).alias("key"), text.alias("text"), column(docs, "doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def _named(docs: DataFrame, tables: Tables) -> DataFrame:
+    """The distinct documents: key of the text, doc_id, number of equal rows, whether it has a word."""
+    texts = _texts(docs).select("key", "doc_id", F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]").alias("has_word"))
+    return tables.write(texts.groupBy("key", "doc_id", "has_word").agg(F.count("*").alias("n")), "named")
+
+
+def _distinct(docs: DataFrame, named: DataFrame, sent_rows: int, tables: Tables) -> DataFrame:
+    """One row of each text that has a word: key, text. A text's copies go before anything is made of them."""
+    first = named.filter("has_word").groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    later = named.join(first, "key", "left").filter("first_id IS NULL OR doc_id <> first_id").select(F.col("key").alias("key_l"), F.col("doc_id").alias("id_l"))
+    later = tables.write(later, "later")
+    small = later.count() <= sent_rows
+    texts = _texts(docs)
+    texts = texts.join(F.broadcast(later) if small else later, (F.col("key") == F.col("key_l")) & (F.col("doc_id") == F.col("id_l")), "left_anti").select("key", "text")
+    repeated = not named.filter("n > 1").isEmpty()
+    if repeated:
+        texts = texts.groupBy("key").agg(F.first("text").alias("text"))
+    return texts if small and not repeated else tables.write(texts, "texts")
+
+
 def _bits(cells: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size >> 3, np.uint8)
     np.bitwise_or.at(out, cells >> 3, np.left_shift(1, cells & 7).astype(np.uint8))
@@ -132,11 +159,13 @@ def prefix_length(n: int, t: float) -> int:
 def _postings(texts: DataFrame, n: int, t: float, tables, seed: int) -> DataFrame:
     """Prefix grams of each text under one order, but for those that no other row has.
 
-    A row has the gram, the text's key, its first and its second gram in the
-    order (44 bits each), and in what these leave the size of the set and the
-    gram's place in the order, both up to 2 ** 20 - 1, which stands for more.
+    A row has the gram, the text's key, and LEADS of the grams that the text
+    has rows for, each with its place in the order (44 and 20 bits; a place
+    of 2 ** 20 - 1 stands for more): the most frequent ones of those that
+    stand early enough for a pair of sets of equal size.  The last column has
+    the size of the set and the gram's own place.
     """
-    ddl = "gram bigint, key bigint, lead bigint, next bigint"
+    ddl = "gram bigint, key bigint, " + "".join(f"lead{k} bigint, " for k in range(LEADS)) + "at bigint"
     schema = arrow_schema(ddl)
     salt = np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64))
 
@@ -156,18 +185,21 @@ def _postings(texts: DataFrame, n: int, t: float, tables, seed: int) -> DataFram
                 if not size:
                     continue
                 cell = grams >> shift
-                known = (shared[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
-                rank = np.where(known, bands[grams >> coarse_shift] + np.uint8(1), np.uint8(0)).astype(np.uint64) << np.uint64(56) | mix(grams ^ salt) >> np.uint64(8)
+                known = ((shared[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 p = prefix_length(size, t)
-                first = np.argsort(rank, kind="stable")[:p]
-                mine = grams[first]
-                sent = known[first].astype(bool)
-                lead = (mine[0] & _HIGH) | np.uint64(min(size, int(_LOW)))
-                places = np.minimum(np.arange(p), int(_LOW)).astype(np.uint64)
-                k = int(sent.sum())
-                if not k:
+                unknown = size - int(known.sum())
+                if unknown >= p:  # they fill the prefix
                     continue
-                out.append((mine[sent], np.full(k, key), np.full(k, lead), ((mine[min(1, p - 1)] & _HIGH) | places)[sent]))
+                grams = grams[known]
+                band = bands[grams >> coarse_shift].astype(np.uint64) << np.uint64(56)
+                spread = mix(grams ^ salt) >> np.uint64(8)
+                first = np.argsort(band | spread, kind="stable")[: p - unknown]
+                k = len(first)
+                places = np.arange(unknown, unknown + k).astype(np.uint64)
+                late = places > np.uint64(max(0, int(0.8 * (1 - t) / (1 + t) * size)))
+                top = np.lexsort((spread[first], ~band[first], late))[np.minimum(np.arange(LEADS), k - 1)]
+                leads = (grams[first[top]] & _HIGH) | np.minimum(places[top], _LOW)
+                out.append((grams[first], np.full(k, key), *(np.full(k, x) for x in leads), np.uint64(size) << np.uint64(32) | places))
                 held += k
                 if held > 200_000:
                     yield flush()
@@ -183,13 +215,14 @@ def _met(postings: DataFrame, t: float) -> DataFrame:
     ddl = "a bigint, b bigint"
     schema = arrow_schema(ddl)
 
-    def within(gram, key, lead, nxt) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def within(gram, key, *carried) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         fresh = np.ones(len(gram), bool)
         fresh[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
-        gram, key, lead, nxt = gram[fresh], key[fresh], lead[fresh].view(np.uint64), nxt[fresh].view(np.uint64)
-        size, place = (lead & _LOW).astype(np.int64), (nxt & _LOW).astype(np.int64)
-        mine, l0, l1 = gram.view(np.uint64) & _HIGH, lead & _HIGH, nxt & _HIGH
-        full = int(_LOW)
+        gram, key, *carried = (x[fresh] for x in (gram, key, *carried))
+        *leads, at_ = (x.view(np.uint64) for x in carried)
+        size, place = (at_ >> np.uint64(32)).astype(np.int64), (at_ & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        mine, names, places = gram.view(np.uint64) & _HIGH, [x & _HIGH for x in leads], [(x & _LOW).astype(np.int64) for x in leads]
+        places = [np.where(x == int(_LOW), 1 << 62, x) for x in places]  # too far on to be told: such a lead settles nothing
         left = np.arange(len(gram))
         d = 1
         while True:
@@ -201,11 +234,21 @@ def _met(postings: DataFrame, t: float) -> DataFrame:
                 i = left[at : at + _PAIRS]
                 j = i + d
                 small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                ok = (small >= t * large - 1e-9) | (large == full)
-                need = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9)
-                ok &= (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) | (large == full)
-                same = np.where(l0[i] == l0[j], l0[i], np.where((l0[i] == l1[j]), l0[i], np.where((l1[i] == l0[j]) | (l1[i] == l1[j]), l1[i], mine[i])))
-                ok &= same == mine[i]
+                need = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9).astype(np.int64)
+                ok = (small >= t * large - 1e-9) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
+                i, j, need = i[ok], j[ok], need[ok]
+                # The pair is taken at the first of i's leads that j has as a lead too, if such a gram's places allow it; without one, here.
+                free_i, free_j = size[i] - need, size[j] - need
+                here = [(mine[i] == x[i]) for x in names]
+                taken, open_ = np.zeros(len(i), bool), np.ones(len(i), bool)
+                for x, px, mine_x in zip(names, places, here):
+                    common = np.zeros(len(i), bool)
+                    for y, py in zip(names, places):
+                        common |= (x[i] == y[j]) & (py[j] <= free_j)
+                    common &= open_ & (px[i] <= free_i)
+                    taken |= common & mine_x
+                    open_ &= ~common
+                ok = taken | open_
                 if ok.any():
                     a, b = key[i[ok]], key[j[ok]]
                     yield np.minimum(a, b), np.maximum(a, b)
@@ -247,34 +290,92 @@ def _met(postings: DataFrame, t: float) -> DataFrame:
     return postings.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(meet, ddl).distinct()
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, t: float, tables: Tables, block_texts: int, sent_rows: int) -> DataFrame:
-    """Similarity of the pairs, on the whole sets: a, b, jaccard. Each text goes once to each task that needs it."""
+def _candidates(texts: DataFrame, n: int, t: float, orders: int, bits: int | None, tables: Tables) -> DataFrame:
+    """The pairs that all orders let through, written."""
+    hashed = texts.sparkSession.sparkContext.broadcast(gram_tables(texts, n, bits))
+    pairs = None
+    for order in range(orders):
+        found = tables.write(_met(_postings(texts, n, t, hashed, order), t), "met")
+        if pairs is not None:
+            both = tables.write(pairs.join(found, ["a", "b"], "left_semi"), "met")
+            tables.drop(pairs, found)
+            found = both
+        pairs = found
+    hashed.unpersist()
+    return pairs
+
+
+PAIRS = "a bigint, b bigint, jaccard double"
+#: A link of the forest (a, b, null), or how many documents of other texts a text is similar to in one task (a, null, n).
+LINKS = "a bigint, b bigint, n bigint"
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, n: int, t: float, tables: Tables, block_texts: int, sent_rows: int, weights: DataFrame | None = None, ddl: str = PAIRS) -> DataFrame:
+    """What verification on the whole sets makes of the pairs: PAIRS or LINKS.
+
+    Each connected component of pairs is cut into blocks of texts, and a task
+    has the pairs between two blocks.  A text goes once to each task in which
+    it has a pair.  For LINKS with weights (key, n: the documents of a text)
+    all pairs are verified and counted; without, those that the task knows to
+    be connected are skipped, which leaves the components as they are.
+    """
     nodes = components(pairs, tables)
     sizes = nodes.groupBy("root").agg(F.ceil(F.count("*") / block_texts).cast("int").alias("blocks"))
     placed = nodes.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    if weights is not None:
+        placed = placed.join(weights.select(F.col("key").alias("node"), F.col("n").alias("weight")), "node", "left")
+    else:
+        placed = placed.withColumn("weight", F.lit(1).cast("bigint"))
     placed = tables.write(placed, "placed")
     a = placed.select(F.col("node").alias("a"), "root", F.col("block").alias("block_a"))
     b = placed.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
-    work = pairs.join(a, "a").join(b, "b").select("root", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b", F.lit(None).cast("string").alias("text"))
-    small = placed.count() <= sent_rows
-    mine = texts.join(F.broadcast(placed) if small else placed, F.col("key") == F.col("node"))
-    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = mine.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
-    ddl = "a bigint, b bigint, jaccard double"
+    work = pairs.join(a, "a").join(b, "b").select("root", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b", F.lit(None).cast("bigint").alias("weight"), F.lit(None).cast("string").alias("text"))
+    one = placed.filter("blocks = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "weight")
+    large = placed.filter("blocks > 1")
+    if large.isEmpty():
+        needed = one
+    else:
+        work = tables.write(work, "work")
+        ends = work.select("root", "i", "j", F.col("a").alias("node")).unionByName(work.select("root", "i", "j", F.col("b").alias("node"))).distinct()
+        needed = one.unionByName(ends.join(large.select("node", "weight"), "node").select("root", "i", "j", "node", "weight"))
+    needed = tables.write(needed, "needed")
+    small = needed.count() <= sent_rows
+    members = texts.join(F.broadcast(needed) if small else needed, F.col("key") == F.col("node")).select("root", "i", "j", F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"), "weight", "text")
     schema = arrow_schema(ddl)
+    linked, counted = ddl == LINKS, weights is not None
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sets = None, {}
+        task = None
+        sets: dict[int, np.ndarray] = {}
+        weight: dict[int, int] = {}
+        up: dict[int, int] = {}
+        degree: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        def settle() -> list[tuple]:
+            rows = [(x, find(x), None) for x in list(up) if find(x) != x] + [(x, None, k) for x, k in degree.items()]
+            up.clear()
+            degree.clear()
+            return rows
+
         for batch in batches:
-            root, i, j, a, b = (batch.column(k).to_pylist() for k in range(5))
+            root, i, j, a, b, w = (batch.column(k).to_pylist() for k in range(6))
             fresh = [k for k in range(batch.num_rows) if b[k] is None]
-            grams = dict(zip(fresh, ngram_sets((batch.column(5)[k].as_py() for k in fresh), n)))
+            grams = dict(zip(fresh, ngram_sets((batch.column(6)[k].as_py() for k in fresh), n)))
             out = []
             for k in range(batch.num_rows):
                 if task != (root[k], i[k], j[k]):
-                    task, sets = (root[k], i[k], j[k]), {}
+                    out += settle()
+                    task, sets, weight = (root[k], i[k], j[k]), {}, {}
                 if k in grams:
-                    sets[a[k]] = grams[k]
+                    sets[a[k]], weight[a[k]] = grams[k], w[k]
+                    continue
+                if linked and not counted and find(a[k]) == find(b[k]):
                     continue
                 x, y = sets[a[k]], sets[b[k]]
                 if len(x) > len(y):
@@ -285,9 +386,20 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, t: float, tables: Tabl
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
                 union = len(x) + len(y) - both
-                if both >= t * union - 1e-9:
+                if both < t * union - 1e-9:
+                    continue
+                if not linked:
                     out.append((a[k], b[k], both / union))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
+                    continue
+                p, q = find(a[k]), find(b[k])
+                up[max(p, q)] = min(p, q)
+                if counted:
+                    degree[a[k]] = degree.get(a[k], 0) + weight[b[k]]
+                    degree[b[k]] = degree.get(b[k], 0) + weight[a[k]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if out := settle():
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     # Members come before the pairs of their task.
     return members.unionByName(work).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.col("b").asc_nulls_first(), "a").mapInArrow(verify, ddl)
@@ -295,29 +407,24 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, t: float, tables: Tabl
 
 def similar_texts(docs: DataFrame, n: int = N, t: float = THRESHOLD, orders: int = ORDERS, bits: int | None = None, block_texts: int = BLOCK_TEXTS, sent_rows: int = SENT_ROWS, tables: Tables | None = None) -> DataFrame:
     """Pairs of different texts, by their keys: a, b, jaccard."""
-    if not 0 < t <= 1 or n < 1 or orders < 1:
-        raise ValueError("0 < t <= 1, n >= 1 and orders >= 1")
-    spark = docs.sparkSession
-    tables = tables or Tables(spark, "jaccard")
-    texts = _texts(docs)
-    hashed = spark.sparkContext.broadcast(gram_tables(texts, n, bits))
-    pairs = None
-    for order in range(orders):
-        found = tables.write(_met(_postings(texts, n, t, hashed, order), t), "met")
-        if pairs is not None:
-            both = tables.write(pairs.join(found, ["a", "b"], "left_semi"), "met")
-            tables.drop(pairs, found)
-            found = both
-        pairs = found
-    return tables.write(_verified(texts, pairs, n, t, tables, block_texts, sent_rows), "similar")
+    return _similar(docs, n, t, orders, bits, block_texts, sent_rows, tables)[0]
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    """Documents that have a gram: key, doc_id."""
-    return _texts(docs).filter(F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]")).select("key", "doc_id").distinct()
+def _similar(docs, n, t, orders, bits, block_texts, sent_rows, tables, ddl: str = PAIRS, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What _verified gives for the documents, written, and their keys (see _named)."""
+    if not 0 < t <= 1 or n < 1 or orders < 1:
+        raise ValueError("0 < t <= 1, n >= 1 and orders >= 1")
+    tables = tables or Tables(docs.sparkSession, "jaccard")
+    named = _named(docs, tables)
+    texts = _distinct(docs, named, sent_rows, tables)
+    pairs = _candidates(texts, n, t, orders, bits, tables)
+    weights = named.groupBy("key").agg(F.count("*").alias("n")) if counted else None
+    out = tables.write(_verified(texts, pairs, n, t, tables, block_texts, sent_rows, weights, ddl), "similar")
+    tables.drop(pairs)
+    return out, named
 
 
-def join(docs: DataFrame, n: int = N, t: float = THRESHOLD, **options) -> DataFrame:
+def join(docs: DataFrame, n: int = N, t: float = THRESHOLD, orders: int = ORDERS, bits: int | None = None, block_texts: int = BLOCK_TEXTS, sent_rows: int = SENT_ROWS) -> DataFrame:
     """All pairs of documents with a Jaccard similarity of at least t: doc_a < doc_b, jaccard.
 
     A document's set is that of its n-grams of words, lower-cased; a word is
@@ -329,24 +436,64 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD, **options) -> DataFr
     Repeated rows are one document, and a document isn't paired with itself;
     of several texts under an id the most similar counts.  Grams are compared
     by 64-bit hashes.  Long texts have whole sets; an empty table gives no
-    pairs; other columns aren't read.
+    pairs; other columns aren't read.  Copies make as many pairs as there
+    are: for what grows with the documents alone see ``classes``.
     """
     require(docs, ["doc_id", "text"])
     tables = Tables(docs.sparkSession, "jaccard")
-    near = similar_texts(docs, n, t, tables=tables, **options)
-    ids = _ids(docs)
+    near, named = _similar(docs, n, t, orders, bits, block_texts, sent_rows, tables)
+    ids = named.filter("has_word").select("key", "doc_id")
     a, b = ids.select(F.col("key").alias("a"), F.col("doc_id").alias("x")), ids.select(F.col("key").alias("b"), F.col("doc_id").alias("y"))
     apart = near.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     same = a.join(b, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return apart.unionByName(same).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, tables: Tables | None = None, **options) -> DataFrame:
+def _forest_of(links: DataFrame) -> DataFrame:
+    return links.filter("b IS NOT NULL").select("a", "b")
+
+
+def similar_roots(docs: DataFrame, tables: Tables, n: int = N, t: float = THRESHOLD, orders: int = ORDERS, bits: int | None = None, block_texts: int = BLOCK_TEXTS, sent_rows: int = SENT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The texts that are connected by similar pairs, by key, with the smallest key of each group: node, root; and _named."""
+    links, named = _similar(docs, n, t, orders, bits, block_texts, sent_rows, tables, LINKS)
+    return components(_forest_of(links), tables), named
+
+
+def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, orders: int = ORDERS, bits: int | None = None, block_texts: int = BLOCK_TEXTS, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """Every document with its class and its number of links: doc_id, class_id, n_links.
+
+    Two documents are linked if their Jaccard similarity (see ``join``) is at
+    least t; n_links counts the other documents that a document is linked to,
+    copies included.  A class is what links connect, named by its smallest
+    doc_id; a document without links is a class of its own.
+
+    A document is a doc_id with a text: repeated rows are one, and an id with
+    several texts has a row for each.  A text without words, or null, is
+    similar to nothing.  Rows with a null doc_id can't be named and are left
+    out.  Long texts have whole sets; an empty table gives no rows; other
+    columns aren't read.
+    """
+    require(docs, ["doc_id", "text"])
+    tables = Tables(docs.sparkSession, "jaccard")
+    links, named = _similar(docs, n, t, orders, bits, block_texts, sent_rows, tables, LINKS, True)
+    roots = components(_forest_of(links), tables).select(F.col("node").alias("key"), "root")
+    others = links.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
+    of_key = named.filter("has_word").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).join(roots, "key", "left").join(others, "key", "left")
+    of_key = of_key.withColumn("root", F.coalesce("root", "key"))
+    of_root = of_key.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    of_key = of_key.join(of_root, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    worded = named.filter("has_word").select("key", "doc_id").join(of_key, "key").select("doc_id", "class_id", "n_links")
+    alone = named.filter("NOT has_word").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    nulls = docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), column(docs, "text").alias("text")).filter("text IS NULL AND doc_id IS NOT NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")).distinct()
+    return worded.unionByName(alone).unionByName(nulls)
+
+
+def groups(docs: DataFrame, tables: Tables | None = None, **options) -> DataFrame:
     """Documents that are connected by similar pairs: doc_id, first_id, the smallest of the group, for groups of two or more."""
     require(docs, ["doc_id", "text"])
     tables = tables or Tables(docs.sparkSession, "jaccard")
-    roots = components(similar_texts(docs, n, t, tables=tables, **options), tables)
-    named = _ids(docs).join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    roots, names = similar_roots(docs, tables, **options)
+    named = names.filter("has_word").select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
     texts = named.groupBy("root").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id <> last_id")
     return named.join(texts, "root").groupBy("doc_id").agg(F.min("first_id").alias("first_id"))
 
@@ -365,17 +512,21 @@ def distinct_documents(docs: DataFrame, sent_rows: int = SENT_ROWS * 4, **option
 
 
 def sql(n: int = N, t: float = THRESHOLD) -> str:
-    """join over documents in DuckDB's SQL."""
+    """classes over documents in DuckDB's SQL."""
     words = r"regexp_extract_all(lower(text), '[0-9A-Za-z_\x{80}-\x{10FFFF}]+')"
     return rf"""
-WITH w AS (SELECT DISTINCT doc_id, text, {words} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, text, array_to_string(w[i : i + {n - 1}], ' ') AS gram
-      FROM (SELECT doc_id, text, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
-sizes AS (SELECT doc_id, text, count(*) AS n FROM g GROUP BY ALL),
-met AS (SELECT a.doc_id AS doc_a, a.text AS text_a, b.doc_id AS doc_b, b.text AS text_b, count(*) AS both_have
-        FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT m.doc_a, m.doc_b, max(CAST(both_have AS DOUBLE) / (x.n + y.n - both_have)) AS jaccard
-FROM met m JOIN sizes x ON m.doc_a = x.doc_id AND m.text_a = x.text JOIN sizes y ON m.doc_b = y.doc_id AND m.text_b = y.text
-WHERE both_have >= {t} * (x.n + y.n - both_have) - 1e-9
-GROUP BY ALL
+WITH RECURSIVE w AS (SELECT text, {words} AS w FROM (SELECT DISTINCT text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+g AS (SELECT DISTINCT text, array_to_string(w[i : i + {n - 1}], ' ') AS gram
+      FROM (SELECT text, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+sizes AS (SELECT text, count(*) AS n FROM g GROUP BY ALL),
+met AS (SELECT a.text AS x, b.text AS y, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.text < b.text GROUP BY ALL),
+near AS (SELECT x, y FROM met JOIN sizes p ON x = p.text JOIN sizes q ON y = q.text WHERE both_have >= {t} * (p.n + q.n - both_have) - 1e-9),
+edges AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+weights AS (SELECT text, count(*) AS n, min(doc_id) AS first_id FROM docs SEMI JOIN sizes USING (text) GROUP BY text),
+others AS (SELECT x AS text, sum(n) AS n FROM edges JOIN weights ON y = text GROUP BY x),
+reach(x, y) AS (SELECT text, text FROM sizes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+classes AS (SELECT x AS text, min(first_id) AS class_id FROM reach JOIN weights ON y = text GROUP BY x)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(w.n - 1, 0) + coalesce(o.n, 0) AS BIGINT) AS n_links
+FROM docs d LEFT JOIN classes c USING (text) LEFT JOIN weights w USING (text) LEFT JOIN others o USING (text)
 """

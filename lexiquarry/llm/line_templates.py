@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from . import jaccard_join
 from .common import Tables, arrow_schema, column, free_name, require, text_key
-from .components import components
 
 DEPTH = 3
 MIN_WORDS = 5
@@ -175,7 +174,7 @@ def _apart(docs: DataFrame, recurring: DataFrame, min_words: int, min_docs: int,
     heavy = hits.groupBy("key", "hash").agg(F.first("size").alias("size"), F.first("whole").alias("whole")).groupBy("key").agg((F.sum("size") > MAX_SHARE * F.first("whole")).alias("heavy")).filter("heavy").select("key")
     texts = docs.select(text.alias("text"), text_key(text).alias("key")).join(heavy, "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text")
     texts = tables.write(texts, "heavy")
-    roots = components(jaccard_join.similar_texts(texts, tables=tables), tables)
+    roots, _ = jaccard_join.similar_roots(texts, tables)
     counted = hits.select("key", "template").distinct().join(roots, F.col("key") == F.col("node"), "left")
     shared = counted.groupBy("template").agg(F.countDistinct(F.coalesce("root", "key")).alias("n")).filter(F.col("n") >= min_docs).select("template")
     out = tables.write(recurring.join(shared, "template", "left_semi").select("line", "template"), "apart")

@@ -41,7 +41,7 @@ def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(documents(spark, sf_dir))
+    return jaccard_join.classes(documents(spark, sf_dir))
 
 
 def op8_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
