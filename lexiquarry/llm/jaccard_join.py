@@ -1,20 +1,18 @@
-"""Operator 7: all pairs of documents with similar sets of word n-grams.
+"""Operator 7: documents with similar sets of word n-grams.
 
 For a total order of the grams, two sets with Jaccard similarity t or more
 share a gram among the first n - ceil(t n) + 1 of each.  This holds for every
 order, so a pair must share a prefix gram under each of several: the first
-by a coarse count of the gram over all documents (rare ones first), ties
-broken by a hash; the others likewise with other hashes.  The pairs that all
-orders let through are verified on their whole sets.
-
-The counts come from two hashed tables that all documents add to: a coarse
-one of counts, and a bitmap with a bit for each cell that two documents or
-more have touched.  The order follows from them, and the result is the same
-whatever they are; but a gram whose cell no other document has touched is
-nowhere else, and though it takes its place in the prefix no posting of it is
-made.  Equal texts are one text until the end.  A pair that shares many prefix
-grams is taken at one of them, the most frequent: a posting carries the LEADS
-most frequent ones of its text, which tells nearly always.
+by the number of texts that have the gram (rare ones first), ties broken by
+a hash; the others likewise with other hashes.  The pairs that all orders
+let through are verified on their whole sets.
+
+Equal texts are one text until the end.  Which grams several texts have, and
+how many, is counted over all texts in one exchange of packed cells; a gram
+that no other text has takes its place in the prefix, but no posting of it is
+made.  A pair that shares many prefix grams is taken at one of them, the most
+frequent: a posting carries the LEADS most frequent ones of its text, which
+tells nearly always.
 
 What the verification finds isn't brought together pair by pair.  A task adds
 up how many documents each of its texts is similar to, and gives a forest of
@@ -29,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +38,13 @@ from .textvec import mix, ngram_sets
 N = 3
 THRESHOLD = 0.5
 ORDERS = 2
-#: The bitmap of shared cells has about two bits a gram, but 2 ** MAX_BITS at most (128 MB); it goes to every task.
-#: Beyond that more grams share cells, and more postings and candidates are made.
-MAX_BITS = 30
-COARSE_BITS = 20
+#: So many grams of a task's texts are packed together, and about so many of all texts are counted together; where this
+#: leaves fewer than PACK grams of a chunk for a range, both grow, with the square root of all grams.
+CHUNK, PACK = 1_000_000, 64
 #: Texts that one task verifies among each other; larger components are divided into blocks, and every pair of blocks is a task.
 BLOCK_TEXTS = 1500
 #: Tables of up to so many rows of two numbers are sent to every task instead of shuffling the texts.
 SENT_ROWS = 500_000
-_CHUNKS = 64
 _LOW = np.uint64((1 << 20) - 1)
 _HIGH = ~_LOW
 #: Prefix grams that a posting carries to tell at which one of them a pair is taken.
@@ -61,9 +58,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame, tables: Tables) -> DataFrame:
-    """The distinct documents: key of the text, doc_id, number of equal rows, whether it has a word."""
-    texts = _texts(docs).select("key", "doc_id", F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]").alias("has_word"))
-    return tables.write(texts.groupBy("key", "doc_id", "has_word").agg(F.count("*").alias("n")), "named")
+    """The distinct documents: key of the text, doc_id, number of equal rows, whether it has a word, its length."""
+    texts = _texts(docs).select("key", "doc_id", F.length("text").alias("chars"), F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]").alias("has_word"))
+    return tables.write(texts.groupBy("key", "doc_id", "has_word", "chars").agg(F.count("*").alias("n")), "named")
 
 
 def _distinct(docs: DataFrame, named: DataFrame, sent_rows: int, tables: Tables) -> DataFrame:
@@ -80,122 +77,201 @@ def _distinct(docs: DataFrame, named: DataFrame, sent_rows: int, tables: Tables)
     return texts if small and not repeated else tables.write(texts, "texts")
 
 
-def _bits(cells: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(size >> 3, np.uint8)
-    np.bitwise_or.at(out, cells >> 3, np.left_shift(1, cells & 7).astype(np.uint8))
-    return out
+CELLS = "range int, chunk bigint, data binary"
+SETS = "key bigint, size int, cells binary, bands binary"
 
 
-def gram_tables(texts: DataFrame, n: int, bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmap of the cells that two rows or more have a gram in; for the cells of a coarser table, twice the logarithm of their counts."""
-    if bits is None:
-        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-        bits = min(max(int(math.log2(max(chars / 6, 1))) + 1, 16), MAX_BITS)
-    ddl = "chunk int, once binary, twice binary, counts binary"
-    schema = arrow_schema(ddl)
-    part, coarse = (1 << bits) // _CHUNKS, (1 << COARSE_BITS) // _CHUNKS
-    shift, coarse_shift = np.uint64(64 - bits), np.uint64(64 - COARSE_BITS)
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, the lowest of all of them first: what is 0 in all of them takes no room."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _pack(cells: np.ndarray, owners: np.ndarray, *more: np.ndarray) -> bytes:
+    """Ascending cells with their owners, and further arrays of bytes."""
+    steps = np.diff(cells, prepend=cells[:1])
+    width = 4 if not len(steps) or steps.max() < 1 << 32 else 8
+    body = _planes(steps.astype(f"<u{width}")) + _planes(owners.astype("<u4")) + b"".join(x.tobytes() for x in more)
+    return b"".join([len(cells).to_bytes(4, "little"), width.to_bytes(1, "little"), int(cells[0] if len(cells) else 0).to_bytes(8, "little"), pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)])
+
+
+def _unpack(data: bytes, more: int = 0) -> list[np.ndarray]:
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    body = np.frombuffer(pa.Codec("zstd").decompress(data[13:], n * (width + 4 + more), asbytes=True), np.uint8)
+
+    def numbers(at: int, size: int) -> np.ndarray:
+        return np.ascontiguousarray(body[at : at + n * size].reshape(size, n).T).view(f"<u{size}").ravel()
+
+    cells = np.cumsum(numbers(0, width).astype(np.uint64), dtype=np.uint64) + np.uint64(int.from_bytes(data[5:13], "little"))
+    return [cells, numbers(n * width, 4), *(body[n * (width + 4 + k) : n * (width + 5 + k)] for k in range(more))]
+
 
-    def packed(x: np.ndarray) -> bytes:
-        return len(x).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(x.tobytes(), asbytes=True)
+def _rows(rows: list[tuple], schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def unpacked(data: bytes, kind) -> np.ndarray:
-        return np.frombuffer(pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little") * np.dtype(kind).itemsize, asbytes=True), kind)
 
-    def row(k: int, once: np.ndarray, twice: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([packed(x)], pa.binary()) for x in (once, twice, counts))], schema=schema)
+def _shared_sets(texts: DataFrame, n: int, t: float, grams: int, bits: int | None) -> DataFrame:
+    """For each text that may be similar to another, what it shares with any: SETS.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = twice = None
-        counts = np.zeros(1 << COARSE_BITS, np.uint32)
+    size counts all of its grams, cells are those of the grams in whose cell
+    another text has one too, and bands say in how many texts (8 times the
+    logarithm).  A gram's cell is the first bits of its hash, so many that
+    few different grams share one.  A text most of whose grams are its own
+    has no row, as no other can be similar to it.
+
+    Chunks of texts send their cells, sorted and packed, to the ranges; each
+    range sends back to the chunks the cells that it has seen more than once.
+    """
+    bits = bits or min(64, max(16, int(math.log2(max(grams, 1))) + 9))
+    most = max(CHUNK, math.isqrt(PACK * grams))
+    ranges = max(1, -(-grams // most))
+    schema, sets_schema = arrow_schema(CELLS), arrow_schema(SETS)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        chunk = (context.partitionId() if context else 0) << 32
+        keys: list[int] = []
         held: list[np.ndarray] = []
         size = 0
 
-        def settle() -> None:
-            nonlocal once, twice, held, size
-            cells, times = np.unique(np.concatenate(held), return_counts=True)
-            mine, more = _bits(cells.astype(np.int64), 1 << bits), _bits(cells[times > 1].astype(np.int64), 1 << bits)
-            twice = more if twice is None else twice | more | (once & mine)
-            once = mine if once is None else once | mine
-            held, size = [], 0
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal chunk, keys, held, size
+            sizes = np.array([len(x) for x in held], np.int64)
+            cells = np.concatenate(held) >> np.uint64(64 - bits)
+            order = np.argsort(cells, kind="stable")
+            cells, owners = cells[order], np.repeat(np.arange(len(held), dtype=np.uint32), sizes)[order]
+            top, width = (cells >> np.uint64(bits - 32), 32) if bits > 32 else (cells, bits)
+            cuts = np.searchsorted(top * np.uint64(ranges) >> np.uint64(width), np.arange(ranges + 1, dtype=np.uint64))
+            names = np.array(keys, np.int64).tobytes() + sizes.tobytes()
+            rows = [(-1 - chunk % ranges, chunk, names)]
+            for k in np.flatnonzero(np.diff(cuts)):
+                rows.append((int(k), chunk, _pack(cells[cuts[k] : cuts[k + 1]], owners[cuts[k] : cuts[k + 1]])))
+                if len(rows) == 512:
+                    yield _rows(rows, schema)
+                    rows = []
+            if rows:
+                yield _rows(rows, schema)
+            chunk, keys, held, size = chunk + 1, [], [], 0
 
         for batch in batches:
-            for grams in ngram_sets((t.as_py() for t in batch.column(0)), n):
-                np.add.at(counts, grams >> coarse_shift, np.uint32(1))
-                held.append(np.unique(grams >> shift))
-                size += len(grams)
-                if size > 4_000_000:
-                    settle()
+            for key, found in zip(batch.column(0).to_pylist(), ngram_sets((x.as_py() for x in batch.column(1)), n)):
+                if len(found):
+                    keys.append(key)
+                    held.append(found)
+                    size += len(found)
+                if size > most:
+                    yield from flush()
         if held:
-            settle()
-        if once is not None:
-            for k in range(_CHUNKS):
-                yield row(k, once[k * part >> 3 : (k + 1) * part >> 3], twice[k * part >> 3 : (k + 1) * part >> 3], counts[k * coarse : (k + 1) * coarse])
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        held: list[tuple] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            cells = np.concatenate([x[1] for x in held])
+            order = np.argsort(cells, kind="stable")
+            ordered = cells[order]
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            counts = np.diff(np.append(starts, len(ordered)))
+            band = np.zeros(len(cells), np.uint8)
+            band[order] = np.repeat(np.minimum(np.floor(8 * np.log2(counts)), 255).astype(np.uint8), counts)
+            at = 0
+            for chunk, mine, owners in held:
+                bands = band[at : at + len(mine)]
+                at += len(mine)
+                some = bands > 0
+                if some.any():
+                    yield _rows([(now, chunk, _pack(mine[some], owners[some], bands[some]))], schema)
+            held.clear()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for k, *data in zip(*(c.to_pylist() for c in batch.columns)):
-                once, twice, counts = unpacked(data[0], np.uint8), unpacked(data[1], np.uint8), unpacked(data[2], np.uint32)
-                if k in totals:
-                    t = totals[k]
-                    totals[k] = [t[0] | once, t[1] | twice | (t[0] & once), t[2] + counts]
+            for k, chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = data.as_py()
+                if k < 0:
+                    yield _rows([(k, chunk, data)], schema)
+                    continue
+                if k != now:
+                    if held:
+                        yield from settle()
+                    now = k
+                held.append((chunk, *_unpack(data)))
+        if held:
+            yield from settle()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = None
+        held: list[list[np.ndarray]] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            half = len(names) // 2
+            keys, sizes = np.frombuffer(names[:half], np.int64), np.frombuffer(names[half:], np.int64)
+            cells, owners, bands = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(owners, kind="stable")
+            cells, bands = cells[order], bands[order]
+            bounds = np.searchsorted(owners[order], np.arange(len(keys) + 1, dtype=np.uint32))
+            prefixes = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
+            rows = []
+            for k in np.flatnonzero(sizes - np.diff(bounds) < prefixes):  # else grams of its own fill the prefix
+                a, b = bounds[k], bounds[k + 1]
+                rows.append((int(keys[k]), int(sizes[k]), cells[a:b].tobytes(), bands[a:b].tobytes()))
+                if len(rows) == 512:
+                    yield _rows(rows, sets_schema)
+                    rows = []
+            if rows:
+                yield _rows(rows, sets_schema)
+
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if k < 0:
+                    if held:
+                        yield from settle()
+                    names, held = data.as_py(), []
                 else:
-                    totals[k] = [once, twice, counts.astype(np.uint64)]
-        for k, (_, twice, counts) in totals.items():
-            yield row(k, np.empty(0, np.uint8), twice, np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8))
+                    held.append(_unpack(data.as_py(), 1))
+        if held:
+            yield from settle()
 
-    shared, bands = np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << COARSE_BITS, np.uint8)
-    for k, _, twice, counts in texts.select("text").mapInArrow(count, ddl).repartition("chunk").mapInArrow(add, ddl).collect():  # of bounded size
-        shared[k * part >> 3 : (k + 1) * part >> 3] = unpacked(bytes(twice), np.uint8)
-        bands[k * coarse : (k + 1) * coarse] = unpacked(bytes(counts), np.uint8)
-    return shared, bands
+    met = texts.select("key", "text").mapInArrow(send, CELLS).repartition("range").sortWithinPartitions("range").mapInArrow(meet, CELLS)
+    # A chunk's row of keys comes before those of its cells.
+    return met.repartition("chunk").sortWithinPartitions("chunk", "range").mapInArrow(gather, SETS)
 
 
 def prefix_length(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1
 
 
-def _postings(texts: DataFrame, n: int, t: float, tables, seed: int) -> DataFrame:
-    """Prefix grams of each text under one order, but for those that no other row has.
+def _postings(sets: DataFrame, t: float, seed: int) -> DataFrame:
+    """Prefix grams of each text under one order, but for those that no other text has.
 
-    A row has the gram, the text's key, and LEADS of the grams that the text
-    has rows for, each with its place in the order (44 and 20 bits; a place
-    of 2 ** 20 - 1 stands for more): the most frequent ones of those that
-    stand early enough for a pair of sets of equal size.  The last column has
-    the size of the set and the gram's own place.
+    A row has the gram (its cell), the text's key, and LEADS of the grams
+    that the text has rows for, each with its place in the order (44 and 20
+    bits; a place of 2 ** 20 - 1 stands for more): the most frequent ones of
+    those that stand early enough for a pair of sets of equal size.  The last
+    column has the size of the set and the gram's own place.
     """
     ddl = "gram bigint, key bigint, " + "".join(f"lead{k} bigint, " for k in range(LEADS)) + "at bigint"
     schema = arrow_schema(ddl)
     salt = np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, bands = tables.value
-        shift, coarse_shift = np.uint64(64 - (len(shared) * 8).bit_length() + 1), np.uint64(64 - COARSE_BITS)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
             out: list[tuple[np.ndarray, ...]] = []
             held = 0
 
             def flush() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out)], schema=schema)
 
-            for key, grams in zip(keys, ngram_sets((x.as_py() for x in batch.column(1)), n)):
-                size = len(grams)
-                if not size:
-                    continue
-                cell = grams >> shift
-                known = ((shared[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                p = prefix_length(size, t)
-                unknown = size - int(known.sum())
-                if unknown >= p:  # they fill the prefix
-                    continue
-                grams = grams[known]
-                band = bands[grams >> coarse_shift].astype(np.uint64) << np.uint64(56)
+            for key, size, cells, bands in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)):
+                grams = mix(np.frombuffer(cells.as_buffer(), np.uint64))
+                band = np.frombuffer(bands.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(56)
                 spread = mix(grams ^ salt) >> np.uint64(8)
-                first = np.argsort(band | spread, kind="stable")[: p - unknown]
+                unknown = int(size) - len(grams)
+                first = np.argsort(band | spread, kind="stable")[: prefix_length(int(size), t) - unknown]
+                places = np.arange(unknown, unknown + len(first)).astype(np.uint64)
+                if len(first) > 1:  # grams of one cell stand together; the first of them counts
+                    fresh = np.concatenate([[True], grams[first[1:]] != grams[first[:-1]]])
+                    first, places = first[fresh], places[fresh]
                 k = len(first)
-                places = np.arange(unknown, unknown + k).astype(np.uint64)
                 late = places > np.uint64(max(0, int(0.8 * (1 - t) / (1 + t) * size)))
                 top = np.lexsort((spread[first], ~band[first], late))[np.minimum(np.arange(LEADS), k - 1)]
                 leads = (grams[first[top]] & _HIGH) | np.minimum(places[top], _LOW)
@@ -207,13 +283,12 @@ def _postings(texts: DataFrame, n: int, t: float, tables, seed: int) -> DataFram
             if out:
                 yield flush()
 
-    return texts.select("key", "text").mapInArrow(emit, ddl)
+    return sets.mapInArrow(emit, ddl)
 
 
-def _met(postings: DataFrame, t: float) -> DataFrame:
-    """Pairs of texts that share a prefix gram and that their sizes and the gram's places allow: a < b."""
-    ddl = "a bigint, b bigint"
-    schema = arrow_schema(ddl)
+def _meeting(t: float):
+    """From postings in the order of their grams to pairs of texts, each made nearly always once."""
+    schema = arrow_schema("a bigint, b bigint")
 
     def within(gram, key, *carried) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         fresh = np.ones(len(gram), bool)
@@ -287,21 +362,26 @@ def _met(postings: DataFrame, t: float) -> DataFrame:
                     found, n = [], 0
         yield flush()
 
-    return postings.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(meet, ddl).distinct()
+    return meet
+
+
+def _met(postings: DataFrame, t: float) -> DataFrame:
+    """Pairs of texts that share a prefix gram and that their sizes and the gram's places allow: a < b."""
+    return postings.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(_meeting(t), "a bigint, b bigint").distinct()
 
 
-def _candidates(texts: DataFrame, n: int, t: float, orders: int, bits: int | None, tables: Tables) -> DataFrame:
+def _candidates(texts: DataFrame, n: int, t: float, orders: int, grams: int, bits: int | None, tables: Tables) -> DataFrame:
     """The pairs that all orders let through, written."""
-    hashed = texts.sparkSession.sparkContext.broadcast(gram_tables(texts, n, bits))
+    sets = tables.write(_shared_sets(texts, n, t, grams, bits), "sets")
     pairs = None
     for order in range(orders):
-        found = tables.write(_met(_postings(texts, n, t, hashed, order), t), "met")
+        found = tables.write(_met(_postings(sets, t, order), t), "met")
         if pairs is not None:
             both = tables.write(pairs.join(found, ["a", "b"], "left_semi"), "met")
             tables.drop(pairs, found)
             found = both
         pairs = found
-    hashed.unpersist()
+    tables.drop(sets)
     return pairs
 
 
@@ -417,7 +497,8 @@ def _similar(docs, n, t, orders, bits, block_texts, sent_rows, tables, ddl: str
     tables = tables or Tables(docs.sparkSession, "jaccard")
     named = _named(docs, tables)
     texts = _distinct(docs, named, sent_rows, tables)
-    pairs = _candidates(texts, n, t, orders, bits, tables)
+    grams = (named.groupBy("key").agg(F.max("chars").alias("chars")).agg(F.sum("chars")).first()[0] or 0) // 6
+    pairs = _candidates(texts, n, t, orders, grams, bits, tables)
     weights = named.groupBy("key").agg(F.count("*").alias("n")) if counted else None
     out = tables.write(_verified(texts, pairs, n, t, tables, block_texts, sent_rows, weights, ddl), "similar")
     tables.drop(pairs)
@@ -511,21 +592,26 @@ def distinct_documents(docs: DataFrame, sent_rows: int = SENT_ROWS * 4, **option
     return docs.join(F.broadcast(gone) if small else gone, column(docs, "doc_id") == column(gone, "gone_id"), "left_anti")
 
 
-def sql(n: int = N, t: float = THRESHOLD) -> str:
-    """classes over documents in DuckDB's SQL."""
+def closure_sql(texts: str, n: int = N, t: float = THRESHOLD) -> str:
+    """Common table expressions in DuckDB's SQL over the distinct texts of a query: sizes(text), edges(x, y), reach(x, y)."""
     words = r"regexp_extract_all(lower(text), '[0-9A-Za-z_\x{80}-\x{10FFFF}]+')"
-    return rf"""
-WITH RECURSIVE w AS (SELECT text, {words} AS w FROM (SELECT DISTINCT text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-g AS (SELECT DISTINCT text, array_to_string(w[i : i + {n - 1}], ' ') AS gram
-      FROM (SELECT text, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
-sizes AS (SELECT text, count(*) AS n FROM g GROUP BY ALL),
-met AS (SELECT a.text AS x, b.text AS y, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.text < b.text GROUP BY ALL),
+    return rf"""jw AS (SELECT text, {words} AS w FROM ({texts})),
+jg AS (SELECT DISTINCT text, array_to_string(w[i : i + {n - 1}], ' ') AS gram
+      FROM (SELECT text, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM jw WHERE len(w) > 0)),
+sizes AS (SELECT text, count(*) AS n FROM jg GROUP BY ALL),
+met AS (SELECT a.text AS x, b.text AS y, count(*) AS both_have FROM jg a JOIN jg b ON a.gram = b.gram AND a.text < b.text GROUP BY ALL),
 near AS (SELECT x, y FROM met JOIN sizes p ON x = p.text JOIN sizes q ON y = q.text WHERE both_have >= {t} * (p.n + q.n - both_have) - 1e-9),
 edges AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach(x, y) AS (SELECT text, text FROM sizes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)"""
+
+
+def sql(n: int = N, t: float = THRESHOLD) -> str:
+    """classes over documents in DuckDB's SQL."""
+    return rf"""
+WITH RECURSIVE {closure_sql("SELECT DISTINCT text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL", n, t)},
 docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL),
 weights AS (SELECT text, count(*) AS n, min(doc_id) AS first_id FROM docs SEMI JOIN sizes USING (text) GROUP BY text),
 others AS (SELECT x AS text, sum(n) AS n FROM edges JOIN weights ON y = text GROUP BY x),
-reach(x, y) AS (SELECT text, text FROM sizes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
 classes AS (SELECT x AS text, min(first_id) AS class_id FROM reach JOIN weights ON y = text GROUP BY x)
 SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(w.n - 1, 0) + coalesce(o.n, 0) AS BIGINT) AS n_links
 FROM docs d LEFT JOIN classes c USING (text) LEFT JOIN weights w USING (text) LEFT JOIN others o USING (text)

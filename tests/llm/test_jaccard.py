@@ -2,13 +2,16 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from lexiquarry.llm import jaccard_join
 from lexiquarry.llm.common import Tables
 from lexiquarry.llm.components import components
+from lexiquarry.llm.textvec import ngram_sets
 
 DDL = "doc_id bigint, text string, lang string, key string, root int, gone_id int"
 
@@ -105,11 +108,34 @@ def test_a_large_group_of_near_copies(spark):
     got = jaccard_join.classes(table(spark, rows)).collect()
     assert sorted(tuple(r) for r in got) == brute_classes(rows, 3, 0.5)
     texts = jaccard_join._texts(table(spark, rows[:150]))
-    hashed = spark.sparkContext.broadcast(jaccard_join.gram_tables(texts, 3))
-    made = 0
-    for r in jaccard_join._met(jaccard_join._postings(texts, 3, 0.5, hashed, 0), 0.5).groupBy("a", "b").count().collect():
-        made += r["count"]
-    assert made == 150 * 149 // 2
+    sets = jaccard_join._shared_sets(texts, 3, 0.5, 60_000, None)
+    postings = jaccard_join._postings(sets, 0.5, 0)
+    assert jaccard_join._met(postings, 0.5).count() == 150 * 149 // 2
+    once = postings.coalesce(1).sortWithinPartitions("gram", "key")
+    made = once.mapInArrow(jaccard_join._meeting(0.5), "a bigint, b bigint").count()
+    assert made < 1.2 * 150 * 149 // 2
+
+
+def test_sets_hold_what_texts_share(spark):
+    """Against counting, whatever the chunks and ranges."""
+    rng = random.Random(6)
+    rows = [(d, " ".join(f"w{rng.randrange(7)}" for _ in range(rng.randrange(1, 120)))) for d in range(80)] + [(90, "quite alone it is"), (91, "")]
+    texts = jaccard_join._texts(table(spark, rows)).filter("text <> ''")
+    of = {r.key: next(iter(ngram_sets([r.text], 3))) for r in texts.collect()}
+    df = Counter(g for x in of.values() for g in x.tolist())
+    for chunk in (1_000_000, 300):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jaccard_join, "CHUNK", chunk)
+            patch.setattr(jaccard_join, "PACK", 1)
+            got = {r.key: r for r in jaccard_join._shared_sets(texts, 3, 0.5, 4000, 64).collect()}
+        for key, grams in of.items():
+            shared = sorted(g for g in grams.tolist() if df[g] > 1)
+            if len(grams) - len(shared) >= jaccard_join.prefix_length(len(grams), 0.5):
+                assert key not in got
+            else:
+                assert np.frombuffer(got[key].cells, np.uint64).tolist() == shared and got[key].size == len(grams)
+                assert list(got[key].bands) == [int(8 * np.log2(df[g])) for g in shared]
+        assert len(got) > 20
 
 
 def test_a_very_long_text(spark):
