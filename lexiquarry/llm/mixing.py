@@ -5,7 +5,9 @@ shard draws, from a generator seeded by its number, how many of its slots
 each source gets (one multinomial draw).  The slots of a source are numbered
 through all shards; slot j takes the block at place j mod n of a
 pseudorandom permutation of the source's n blocks, keyed by source and by
-epoch j div n.  Slots and blocks then meet in one join on (source, block).
+epoch j div n.  Slots and blocks then meet in one join on (source, block):
+a task puts together the blocks that lie within its rows, and what is left
+of others at its ends is merged in the shuffle that the join takes.
 """
 
 from __future__ import annotations
@@ -27,23 +29,25 @@ BLOCK = 512
 SLOTS = 256
 ALPHA = 0.7
 SEED = 20240601
+#: Shards that one task draws for.
+DRAWN = 4096
+#: Ends a document in mixed_documents.
+END = "\n"
 _LIMIT = 1 << 21
+_HELD = 32 << 20
+_BLANKS = "\0\t\n\v\f\r "
 
 
 def token_starts(data: bytes) -> np.ndarray:
-    """Where the tokens of a text begin: a token is a word and the blanks after it.
+    """Where the tokens of a text begin: a token is a word and the blanks before it.
 
-    Blanks before the first word belong to it; a text of blanks alone is one
+    Blanks behind the last word belong to it; a text of blanks alone is one
     token.  The tokens of a text put together are the text.
     """
     if not data:
         return np.empty(0, np.int64)
-    starts, _ = spans(np.frombuffer(data, np.uint8), "space")
-    starts = starts.astype(np.int64)
-    if not len(starts):
-        return np.zeros(1, np.int64)
-    starts[0] = 0
-    return starts
+    _, ends = spans(np.frombuffer(data, np.uint8), "space")
+    return np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -105,32 +109,70 @@ def _measured(docs: DataFrame) -> DataFrame:
     ).mapInArrow(measure, PIECES)
 
 
-def _pieces(placed: DataFrame, block: int) -> DataFrame:
-    """The documents, cut where blocks end: source, block, first, doc_id, lang, n_tokens, text."""
-    ddl = "source string, block bigint, first bigint, n_tokens int, doc_id bigint, lang string, text string"
-    schema = arrow_schema(ddl)
+PARTS = "k int, block bigint, source string, first bigint, n_tokens int, doc_ids array<bigint>, langs array<string>, texts array<string>"
+
+
+def _parts(placed: DataFrame, block: int, apart: bool) -> DataFrame:
+    """Blocks, or what a task has of one, a row each: see PARTS.
+
+    Unless apart, there is one text for all documents, and no lang.  With
+    apart a document's last piece ends with END instead of its blanks.
+    """
+    schema = arrow_schema(PARTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # by source: its name, where its open part begins and ends, doc_ids, langs, texts
+        size = 0
+        out: list[tuple] = []
+        sent = 0
+
+        def close(k: int) -> None:
+            nonlocal sent
+            source, first, end, ids, langs, texts = held.pop(k)
+            out.append((k, first // block, source, first, end - first, ids, langs if apart else [], texts if apart else ["".join(texts)]))
+            sent += sum(map(len, texts))
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out, sent
+            rows = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out, sent = [], 0
+            return rows
+
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for source, start, doc_id, lang, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for k, source, start, doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode("utf-8")
                 places = token_starts(data)
                 at = 0
                 while at < len(places):
-                    n = min(len(places) - at, block - (start + at) % block)
-                    end = int(places[at + n]) if at + n < len(places) else len(data)
-                    out.append((source, (start + at) // block, start + at, n, doc_id, lang, data[int(places[at]) : end].decode("utf-8")))
-                    size += end - int(places[at])
+                    now = start + at
+                    if k in held and held[k][2] != now:
+                        close(k)
+                    n = min(len(places) - at, block - now % block)
+                    last = at + n == len(places)
+                    piece = data[int(places[at]) : len(data) if last else int(places[at + n])].decode("utf-8")
+                    if apart and last:
+                        piece = piece.rstrip(_BLANKS) + END
+                    _, first, _, ids, langs, texts = held.get(k) or (source, now, now, [], [], [])
+                    ids.append(doc_id)
+                    langs.append(lang)
+                    texts.append(piece)
+                    held[k] = (source, first, now + n, ids, langs, texts)
+                    size += len(piece)
                     at += n
-                    if size > _LIMIT:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                        out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    return placed.select("source", "start", "doc_id", "lang", "text").mapInArrow(cut, ddl)
+                    if (now + n) % block == 0:
+                        close(k)
+                    if size > _HELD:
+                        for x in list(held):
+                            close(x)
+                        size = 0
+                    if sent > _LIMIT:
+                        yield flush()
+        for x in list(held):
+            close(x)
+        if out:
+            yield flush()
+
+    return placed.select("k", "source", "start", "doc_id", "lang", "text").mapInArrow(cut, PARTS)
 
 
 def target_weights(totals: dict[str | None, int], weights: dict[str | None, float] | None, alpha: float) -> dict[str | None, float]:
@@ -142,8 +184,8 @@ def target_weights(totals: dict[str | None, int], weights: dict[str | None, floa
     return {s: w / whole for s, w in sorted(raw.items(), key=lambda x: (x[0] is None, x[0])) if w} if whole else {}
 
 
-def mix_pieces(docs: DataFrame, weights=None, alpha: float = ALPHA, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, n_slots: int | None = None) -> DataFrame:
-    """As mix, but a row for each document's share of a block: shard, slot, source, block, epoch, first, n_tokens, doc_id, lang, text."""
+def _mixed(docs: DataFrame, apart: bool, weights=None, alpha: float = ALPHA, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, n_slots: int | None = None) -> DataFrame:
+    """A row a slot: shard, slot, source, block, epoch, and the block's parts p in order (first, n_tokens, doc_ids, langs, texts)."""
     require(docs, ["doc_id", "text", "source"])
     spark = docs.sparkSession
     tables = Tables(spark, "mix")
@@ -170,7 +212,7 @@ def mix_pieces(docs: DataFrame, weights=None, alpha: float = ALPHA, block: int =
 
     # The draws of all shards, numbered through: prefix sums over runs of shards, then within a run.
     run = 1024
-    counts = spark.range(0, shards, numPartitions=max(1, min(64, shards))).mapInArrow(draws, "shard bigint, k int, n int").withColumn("run", F.expr(f"shard div {run}"))
+    counts = spark.range(0, shards, numPartitions=max(1, -(-shards // DRAWN))).mapInArrow(draws, "shard bigint, k int, n int").withColumn("run", F.expr(f"shard div {run}"))
     per_run = counts.groupBy("k", "run").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_run.select("k", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -179,7 +221,8 @@ def mix_pieces(docs: DataFrame, weights=None, alpha: float = ALPHA, block: int =
     numbered = counts.join(bases, ["k", "run"]).select("shard", "k", "n", (F.col("base") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("from"))
     numbered = numbered.withColumn("slot", F.coalesce(F.sum("n").over(slot_base), F.lit(0)).cast("int")).filter("n > 0")
 
-    slot_schema = arrow_schema("shard bigint, slot int, source string, block bigint, epoch bigint")
+    ddl = "shard bigint, slot int, k int, block bigint, epoch bigint"
+    slot_schema = arrow_schema(ddl)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = [blocks[s] for s in names]
@@ -194,19 +237,19 @@ def mix_pieces(docs: DataFrame, weights=None, alpha: float = ALPHA, block: int =
             pairs, which = np.unique(np.stack([source, epoch]), axis=1, return_inverse=True)
             keys = np.array([_key(seed, names[s], int(e)) for s, e in pairs.T], np.uint64)[which.ravel()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(shard, n)), pa.array((np.repeat(slot, n) + within).astype(np.int32)), pa.array([names[s] for s in source], pa.string()), pa.array(permute(j % of, of, keys)), pa.array(epoch)],
+                [pa.array(np.repeat(shard, n)), pa.array((np.repeat(slot, n) + within).astype(np.int32)), pa.array(source.astype(np.int32)), pa.array(permute(j % of, of, keys)), pa.array(epoch)],
                 schema=slot_schema,
             )
 
-    chosen = numbered.select("shard", "k", "n", "from", "slot").mapInArrow(choose, "shard bigint, slot int, source string, block bigint, epoch bigint")
-    bases_of = offsets(table, "n_tokens", "source").select(F.col("source").alias("source_b"), F.col("part").alias("part_b"), "base")
+    chosen = numbered.select("shard", "k", "n", "from", "slot").mapInArrow(choose, ddl)
+    numbers = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "source_n string, k int")
+    bases_of = offsets(table, "n_tokens", "source").join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("source_n"))).select("k", F.col("source").alias("source_b"), F.col("part").alias("part_b"), "base")
     placed = (
         table.join(F.broadcast(bases_of), F.col("source").eqNullSafe(F.col("source_b")) & (F.col("part") == F.col("part_b")))  # a row for each source and partition of the input
-        .select("source", (F.col("base") + F.col("start")).alias("start"), "doc_id", "lang", "text")
+        .select("k", "source", (F.col("base") + F.col("start")).alias("start"), "doc_id", "lang", "text")
     )
-    pieces = _pieces(placed, block).withColumnRenamed("source", "source_p").withColumnRenamed("block", "block_p")
-    out = chosen.hint("shuffle_hash").join(pieces, F.col("source").eqNullSafe(F.col("source_p")) & (F.col("block") == F.col("block_p")))
-    return out.select("shard", "slot", "source", "block", "epoch", "first", "n_tokens", "doc_id", "lang", "text")
+    whole = _parts(placed, block, apart).groupBy("k", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("first", "n_tokens", "doc_ids", "langs", "texts"))).alias("p"))
+    return chosen.hint("shuffle_hash").join(whole, ["k", "block"]).select("shard", "slot", "source", "block", "epoch", "p")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -217,7 +260,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     ``block`` tokens a block; ``slots`` blocks a shard; ``n_slots`` blocks in
     all, by default as many as the input has; ``seed``.
 
-    A token is a word with the blanks after it (see token_starts), so the
+    A token is a word with the blanks before it (see token_starts), so the
     text of a block is exact.  One row a slot: shard, slot, source, block,
     epoch, n_tokens, doc_ids and text, the documents in their order.  The
     last block of a source may be shorter; no token of it is lost.
@@ -228,20 +271,28 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     than a block fills as many as it needs; an empty table, or one in which
     no weighed source has tokens, gives no rows; other columns aren't read.
     """
-    pieces = mix_pieces(docs, **options)
-    rows = pieces.groupBy("shard", "slot").agg(
-        F.first("source").alias("source"), F.first("block").alias("block"), F.first("epoch").alias("epoch"), F.sum("n_tokens").cast("int").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.struct("first", "doc_id", "text"))).alias("p"),
-    )
-    return rows.select("shard", "slot", "source", "block", "epoch", "n_tokens", F.expr("p.doc_id").alias("doc_ids"), F.concat_ws("", F.expr("p.text")).alias("text"))
+    return _mixed(docs, False, **options).select(
+        "shard",
+        "slot",
+        "source",
+        "block",
+        "epoch",
+        F.expr("cast(aggregate(p, 0L, (n, x) -> n + x.n_tokens) as int)").alias("n_tokens"),
+        F.expr("flatten(p.doc_ids)").alias("doc_ids"),
+        F.concat_ws("", F.expr("flatten(p.texts)")).alias("text"),
+    )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as a table of documents, in its order: each row is what a block holds of one document.
 
     The columns are doc_id, text, lang, source and n_chars, the length of
-    the row's text.  Shards follow one another whole, slots and documents
-    within them in order.
+    the row's text; others aren't read.  Shards follow one another whole,
+    slots and documents within them in order.  A row with which a document
+    ends has END in place of the blanks behind its last word; any other row
+    ends with a word, and what follows stands in another block.  Null and
+    empty texts have no row; for the rest see ``mix``.
     """
-    pieces = mix_pieces(docs, **options).repartition("shard").sortWithinPartitions("shard", "slot", "first")
-    return pieces.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    rows = _mixed(docs, True, **options).repartition("shard").sortWithinPartitions("shard", "slot")
+    pieces = rows.select("source", F.explode(F.expr("arrays_zip(flatten(p.doc_ids), flatten(p.langs), flatten(p.texts))")).alias("x"))
+    return pieces.select(F.col("x.0").alias("doc_id"), F.col("x.2").alias("text"), F.col("x.1").alias("lang"), "source", F.length("x.2").cast("bigint").alias("n_chars"))

@@ -26,19 +26,27 @@ ENCODED = "part int, start bigint, doc_id bigint, n_tokens bigint, id_bytes int,
 PACKED = "window_id bigint, n_tokens int, id_bytes int, ids binary, doc_ids array<bigint>, starts array<int>"
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, ends: str | None = None) -> DataFrame:
     """First pass: ids of every document and their place within the partition."""
     schema = arrow_schema(ENCODED)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = tokens.vocabulary(tokenizer)
         end = np.array([end_id], vocabulary.dtype)
+
+        def ids_of(text: str | None) -> np.ndarray:
+            if ends is None:
+                return np.concatenate([vocabulary.encode(text), end])
+            if text is not None and text.endswith(ends):
+                return np.concatenate([vocabulary.encode(text[: -len(ends)]), end])
+            return vocabulary.encode(text)
+
         context = TaskContext.get()
         part, place = context.partitionId() if context else 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                ids = [np.concatenate([vocabulary.encode(t.as_py()), end]) for t in piece.column(1)]
+                ids = [ids_of(t.as_py()) for t in piece.column(1)]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 starts = place + np.cumsum(sizes) - sizes
                 place += int(sizes.sum())
@@ -62,14 +70,15 @@ def offsets(table: DataFrame, size: str, *within: str) -> DataFrame:
     return totals.select(*within, "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.DEFAULT_PATH, end_id: int = tokens.END_ID, drop_last: bool = False) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.DEFAULT_PATH, end_id: int = tokens.END_ID, drop_last: bool = False, ends: str | None = None) -> DataFrame:
     """Windows of exactly ``window`` ids over all documents, in the order in which the table is read.
 
     One row a window: window_id counts from 0; ids holds n_tokens ids of
     id_bytes bytes each, least significant first; doc_ids and starts say
     which documents lie in it and where in it each begins (0 for one that
     began in an earlier window).  The last window holds what remains, unless
-    drop_last.
+    drop_last.  With ``ends`` rows may be pieces of documents: the end id
+    follows only a text that ends with this string, in its place.
 
     A null or empty text is a document of the end id alone; a null doc_id
     stays null; repeated rows are repeated documents; an empty table gives
@@ -81,7 +90,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.DEFAULT_
         raise ValueError("window must be positive")
     spark = docs.sparkSession
     tables = Tables(spark, "pack")
-    table = tables.write(encoded(docs, tokenizer, end_id), "ids")
+    table = tables.write(encoded(docs, tokenizer, end_id, ends), "ids")
     placed = (
         table.join(F.broadcast(offsets(table, "n_tokens")), "part")  # a row of 12 bytes for each partition of the input
         .select((F.col("base") + F.col("start")).alias("start"), "doc_id", "id_bytes", "ids")

@@ -1,5 +1,8 @@
 """Operators 3, 9 and 10: exact round trips and brute force."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +107,98 @@ def test_mixing_defaults_use_all_sources(spark):
     docs = table(spark)
     out = mixing.mix(docs, block=8, slots=8)
     assert out.agg(F.count("*")).first()[0] == sum(-(-sum(len(mixing.token_starts((t or "").encode())) for i, t in enumerate(TEXTS) if f(i)) // 8) for f in (lambda i: i % 4 == 3, lambda i: i % 2 == 0, lambda i: i % 4 == 1))
+
+
+BLANK = r"[\0\t\n\v\f\r ]"
+WORDS = re.compile(rf"{BLANK}*[^\0\t\n\v\f\r ]+(?:{BLANK}+$)?|{BLANK}+$")
+
+
+def test_token_starts():
+    for text in [t for t in TEXTS if t] + [" \t a\nb  c \n", "ß ü", "\0a\0"]:
+        data = text.encode()
+        bounds = [*mixing.token_starts(data).tolist(), len(data)]
+        assert [data[a:b].decode() for a, b in zip(bounds, bounds[1:])] == [m[0] for m in WORDS.finditer(text)]
+
+
+def place(x, n, key):
+    """Feistel rounds, walked until below n, in plain integers."""
+    width = max((max(n, 2) - 1).bit_length(), 1)
+    half = (width + 2) // 2
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for r in range(4):
+            z = (right + key + r) * 0x9E3779B97F4A7C15 % 2**64
+            z = (z ^ (z >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+            left, right = right, left ^ ((z ^ (z >> 32)) & ((1 << half) - 1))
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def brute_mix(rows, weights, block, slots, n_slots, seed):
+    """(shard, slot, source, block, epoch, tokens with their documents) of rows (source, doc_id, text) in the table's order."""
+    stream = {}
+    for source, name, text in rows:
+        stream.setdefault(source, []).extend((name, m[0]) for m in WORDS.finditer(text or ""))
+    names = sorted((s for s in stream if stream[s] and weights.get(s)), key=lambda s: (s is None, s))
+    p = np.array([weights[s] for s in names], float)
+    p /= p.sum()
+    drawn = dict.fromkeys(names, 0)
+    for shard in range(-(-n_slots // slots)):
+        counts = np.random.default_rng([seed, shard]).multinomial(min(slots, n_slots - shard * slots), p)
+        slot = 0
+        for s, n in zip(names, counts):
+            size = -(-len(stream[s]) // block)
+            for _ in range(n):
+                epoch, j = divmod(drawn[s], size)
+                key = int.from_bytes(hashlib.blake2b(repr((seed, s, epoch)).encode(), digest_size=8).digest(), "little") >> 1
+                b = place(j, size, key)
+                yield shard, slot, s, b, epoch, stream[s][b * block : (b + 1) * block]
+                drawn[s] += 1
+                slot += 1
+
+
+@pytest.mark.parametrize("block, slots, n_slots", [(16, 5, 333), (3, 64, 2500), (1000, 4, 9)])
+def test_mixing_brute_force(spark, block, slots, n_slots):
+    docs = table(spark, [*TEXTS, *(f"more {'of ' * (i % 11)} text {i}" for i in range(60)), "a long text " * 90_000]).cache()
+    rows = [(r.source, r.doc_id, r.text) for r in docs.collect()]
+    weights = {"s0": 4.0, "s1": 2.0, None: 1.0}
+    want = {}
+    for shard, slot, source, number, epoch, mine in brute_mix(rows, weights, block, slots, n_slots, 5):
+        names = [n for k, (n, _) in enumerate(mine) if not k or mine[k - 1][0] != n]
+        want[shard, slot] = (source, number, epoch, len(mine), names, "".join(t for _, t in mine))
+    got = mixing.mix(docs, weights=weights, block=block, slots=slots, n_slots=n_slots, seed=5)
+    mine = {(r.shard, r.slot): (r.source, r.block, r.epoch, r.n_tokens, [n for k, n in enumerate(r.doc_ids) if not k or r.doc_ids[k - 1] != n], r.text) for r in got.collect()}
+    assert mine == want and len(mine) == n_slots
+
+
+def test_mixed_documents_end_once(spark):
+    """Each copy of a document in the mix has one end, and its pieces put together are its text."""
+    docs = table(spark, [t for t in TEXTS if t and t.strip()], 2)
+    out = mixing.mixed_documents(docs, block=16, slots=8, alpha=1.0)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = out.collect()
+    assert all(r.n_chars == len(r.text) and (r.text[-1] == "\n") == r.text[-1].isspace() for r in rows)
+    ids = packing.pack(out.coalesce(1), 10**6, ends=mixing.END).first()
+    stream = np.frombuffer(ids.ids, "<u2").tolist()
+    assert stream.count(tokens.END_ID) == sum(r.text.endswith("\n") for r in rows) < len(rows)
+    pieces = [tokens.vocabulary().encode(r.text.removesuffix("\n")).tolist() + [tokens.END_ID] * r.text.endswith("\n") for r in rows]
+    assert stream == sum(pieces, [])
+    # Cut at a blank before a word, a text has the same ids as whole.
+    whole = "naïve  café\n\nfin of  it all"
+    for at in (5, 12, 16):
+        assert tokens.vocabulary().encode(whole[:at]).tolist() + tokens.vocabulary().encode(whole[at:]).tolist() == tokens.vocabulary().encode(whole).tolist()
+
+
+def test_texts_beyond_a_piece(spark):
+    """Ids of texts of more than 200,000 characters are those of the whole text, and shards and windows hold them."""
+    text = "The cat  sat, 12 times.\n" * 20_000
+    want = tokens.vocabulary()._encoding.encode_ordinary(text)
+    assert tokens.vocabulary().encode(text).tolist() == want and len(text) > 2 * tokens._PIECE
+    unbroken = "x" * 450_000
+    assert tokens.vocabulary().decode(tokens.vocabulary().encode(unbroken)) == unbroken
+    docs = table(spark, [text, unbroken[:210_000]], 1)
+    back = {r.doc_id: r.text for r in elias_fano.decode_shards(elias_fano.token_shards(docs)).collect()}
+    assert back == {0: text, 1: unbroken[:210_000]}
+    windows = sorted(packing.pack(docs.filter("doc_id = 0"), 4096).collect())
+    assert [x for w in windows for x in np.frombuffer(w.ids, "<u2").tolist()] == [*want, tokens.END_ID]
