@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, free_name, require
+from .common import arrow_schema, column, free_name, require
 from .textvec import mix, word_hashes
 
 CLASSES = ("clean", "low", "toxic")
@@ -93,17 +94,20 @@ def _counts(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def train(texts: list[str | None], classes: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Fit vectors and output layer. Features of fewer than MIN_SEEN texts have no vector."""
+def train(texts: list[str | None], classes: np.ndarray, bits: int = BITS, **options) -> Model:
+    """Fit vectors and output layer on texts."""
+    return _learn(_counts(texts, bits), classes, bits, **options)
+
+
+def _learn(docs: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """As train, on the features of the texts. Features of fewer than MIN_SEEN texts have no vector."""
     rng = np.random.default_rng(seed)
-    docs = _counts(texts, bits)
     size = 3 << bits
     seen = np.zeros(size, np.int32)
     for i, _ in docs:
         seen[i] += 1  # a text's features are distinct
     seen = seen >= MIN_SEEN
-    for d, (i, w) in enumerate(docs):  # in place: the driver holds them once
-        docs[d] = i[seen[i]], w[seen[i]]
+    docs = [(i[seen[i]], w[seen[i]]) for i, w in docs]
     k = len(CLASSES)
     vectors = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
     layer = rng.normal(0, 0.5, (dim, k)).astype(np.float32)
@@ -150,8 +154,8 @@ def probabilities(model: Model, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pd.DataFrame:
-    """At most per_class labelled documents of each class, by the hash of their ids: text, class.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """At most per_class labelled documents of each class, by the hash of their ids: id, class, text.
 
     Labels with a null are left out, as are labelled ids without a document,
     before the bound is applied;
@@ -169,15 +173,41 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pd
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(chosen.groupBy("id").agg(F.max("class").alias("class")))  # at most 3 * per_class rows
     texts = docs.select(column(docs, "doc_id").cast("bigint").alias("id"), column(docs, "text").alias("text")).join(chosen, "id")
-    return texts.groupBy("id", "class").agg(F.max("text").alias("text")).orderBy(*order).toPandas()
+    return texts.groupBy("id", "class").agg(F.max("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **options) -> Model | None:
-    """A model, or None where fewer than two classes have labelled documents."""
-    rows = sample(docs, labels, per_class)
-    if rows["class"].nunique() < 2:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS, **options) -> Model | None:
+    """A model, or None where fewer than two classes have labelled documents.
+
+    The tasks make the features of the sampled texts, of which there are at
+    most 3 << bits each however long the text; one task learns from them,
+    and only the model, of fixed size, comes to the driver.
+    """
+    found = "place bigint, id bigint, class int, features binary, weights binary"
+    learned = "scores binary, bias binary"
+    found_schema, learned_schema = arrow_schema(found), arrow_schema(learned)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                ids, weights = zip(*_counts(piece.column(3).to_pylist(), bits))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (ids, weights))], schema=found_schema)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, classes = [], []
+        for batch in batches:
+            classes += batch.column(2).to_pylist()
+            held += [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for i, w in zip(batch.column(3), batch.column(4))]
+        if len(set(classes)) > 1:
+            model = _learn(held, np.array(classes), bits, **options)
+            yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary())], schema=learned_schema)
+
+    rows = sample(docs, labels, per_class).select(F.xxhash64("id").alias("place"), "id", F.col("class").cast("int").alias("class"), "text").mapInArrow(count, found)
+    model = rows.repartition(1).sortWithinPartitions("place", "id").mapInArrow(learn, learned).collect()  # at most a row
+    if not model:
         return None
-    return train(rows["text"].tolist(), rows["class"].to_numpy(), **options)
+    return Model(np.frombuffer(bytes(model[0]["scores"]), np.float32).reshape(3 << bits, len(CLASSES)), np.frombuffer(bytes(model[0]["bias"]), np.float32), bits)
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, names: tuple[str, str, str] = ("p_clean", "p_low", "p_toxic"), **options) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operator 5: held-out accuracy and corner cases."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from lexiquarry.llm import quality
 
@@ -64,5 +67,61 @@ def test_corner_cases(spark):
 
 def test_sample_is_bounded_and_settled(spark):
     docs, labels = frames(spark, corpus(300))
-    a, b = quality.sample(docs, labels, 20), quality.sample(docs.repartition(5), labels.repartition(2), 20)
+    a, b = (x.orderBy("id").toPandas() for x in (quality.sample(docs, labels, 20), quality.sample(docs.repartition(5), labels.repartition(2), 20)))
     assert a.equals(b) and a["class"].value_counts().tolist() == [20, 20, 20]
+
+
+def plain_sgd(docs, classes, size, dim, epochs, rate, seed):
+    """The same descent in plain numbers, feature by feature. docs: features and weights; returns scores and bias."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(0, 0.1, (size, dim)).astype(np.float32).astype(float).tolist()
+    layer = rng.normal(0, 0.5, (dim, 3)).astype(np.float32).astype(float).tolist()
+    bias, seen = [0.0] * 3, Counter(i for d in docs for i in d)
+    docs = [{i: w for i, w in d.items() if seen[i] >= quality.MIN_SEEN} for d in docs]
+    gv, gl, gb = [1e-8] * size, [[1e-2] * 3 for _ in range(dim)], [1e-2] * 3
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        for d in rng.permutation(len(docs)):
+            if not docs[d]:
+                continue
+            hidden = [sum(w * vectors[i][k] for i, w in docs[d].items()) for k in range(dim)]
+            z = [sum(hidden[k] * layer[k][c] for k in range(dim)) + bias[c] for c in range(3)]
+            e = [math.exp(x - max(z)) for x in z]
+            delta = [x / sum(e) - (c == classes[d]) for c, x in enumerate(e)]
+            back = [sum(layer[k][c] * delta[c] for c in range(3)) for k in range(dim)]
+            for i, w in docs[d].items():
+                gv[i] += w * w * sum(x * x for x in back)
+                for k in range(dim):
+                    vectors[i][k] -= step * w / math.sqrt(gv[i]) * back[k]
+            for k in range(dim):
+                for c in range(3):
+                    g = hidden[k] * delta[c]
+                    gl[k][c] += g * g
+                    layer[k][c] -= 0.1 * step * g / math.sqrt(gl[k][c])
+            for c in range(3):
+                gb[c] += delta[c] ** 2
+                bias[c] -= 0.1 * step * delta[c] / math.sqrt(gb[c])
+    scores = [[sum(v[k] * layer[k][c] for k in range(dim)) if seen[i] >= quality.MIN_SEEN else 0.0 for c in range(3)] for i, v in enumerate(vectors)]
+    return np.array(scores), np.array(bias)
+
+
+def test_brute_force_descent_and_scores(spark):
+    rows = corpus(60, seed=8)
+    texts, kinds = [t for _, t, _ in rows], np.array([k for _, _, k in rows])
+    model = quality.train(texts, kinds, bits=10, dim=3, epochs=2)
+    docs = [dict(zip(i.tolist(), w.astype(float).tolist())) for i, w in quality._counts(texts, 10)]
+    scores, bias = plain_sgd(docs, kinds, 3 << 10, 3, 2, quality.RATE, 7)
+    assert np.allclose(model.scores, scores, atol=2e-3) and np.allclose(model.bias, bias, atol=2e-3) and np.abs(scores).max() > 0.1
+
+    # Fitted in tasks, it is the same model but for the order of the texts; scored, each document has what plain sums give.
+    frame, labels = frames(spark, rows)
+    fitted = quality.fit(frame, labels, bits=10, dim=3, epochs=2)
+    order = [r.id for r in quality.sample(frame, labels).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").collect()]
+    again = quality.train([texts[i] for i in order], kinds[order], bits=10, dim=3, epochs=2)
+    assert np.array_equal(fitted.scores, again.scores) and np.array_equal(fitted.bias, again.bias)
+    for r in quality.classify(frame, labels, bits=10, dim=3, epochs=2, names=("a", "b", "c")).collect():
+        z = fitted.bias.astype(float)
+        for i, w in docs[r.doc_id].items():
+            z = z + w * fitted.scores[i].astype(float)
+        e = np.exp(z - z.max())
+        assert (r.a, r.b, r.c) == pytest.approx(tuple(e / e.sum()), abs=1e-4)
