@@ -2,11 +2,12 @@
 
 Every vector is approximated by the cell of a grid that it lies in, one byte
 a dimension, with the distance to the cell's centre.  A query's distance to
-the centre, less and plus that, bounds its distance to the vector.  Blocks
-of queries scan all approximations; what remains of each query are the
-vectors whose lower bound is at most the k-th smallest upper bound.  Exact
-vectors are then read in the order of the lower bounds, a few a round, until
-a query's k-th distance is below the next lower bound.
+the centre, less and plus that, bounds its distance to the vector.  A number
+of queries go to every task, and the tasks scan their approximations; what
+remains of each query are the vectors whose lower bound is at most the k-th
+smallest upper bound.  Exact vectors are then read in the order of the lower
+bounds, a few a round, until a query's k-th distance is below the next lower
+bound.
 """
 
 from __future__ import annotations
@@ -19,114 +20,100 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, arrow_schema
-from .vectors import clean, matrix, measured, ranked
+from .vectors import ABREAST, QUERIES, clean, matrix, measured, ranked, rounds, together
 
 K = 10
 LEVELS = 256
-BLOCK = 1024
 #: Vectors that are read for each open query in a round, beyond k.
 STEP = 8
 #: What float32 products may be off by, relative to the squared norms.
 SLACK = 4e-6
 
 
-def _blocks(vectors: DataFrame, d: int, low: np.ndarray, width: np.ndarray, block: int, n: int) -> DataFrame:
-    """Blocks of vectors by a hash of the id: block, ids, codes, errors, v; all but the first binary."""
-    ddl = "block bigint, ids binary, codes binary, errors binary, v binary"
+def _coded(vectors: DataFrame, d: int, low: np.ndarray, width: np.ndarray) -> DataFrame:
+    """The approximations: id, code (a byte a dimension), error (distance to the cell's centre)."""
+    ddl = "id bigint, code binary, error float"
     schema = arrow_schema(ddl)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            ids, v = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = matrix(batch.column(1), d)
             codes = np.clip(np.floor((v - low) / width), 0, LEVELS - 1).astype(np.uint8)
-            centres = low + (codes + 0.5) * width
-            errors = np.sqrt(((v - centres) ** 2).sum(1)).astype(np.float32) * np.float32(1 + 1e-6)
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, codes, errors, v))], schema=schema)
+            errors = np.sqrt(((v - (low + (codes + 0.5) * width)) ** 2).sum(1)).astype(np.float32) * np.float32(1 + 1e-6)
+            places = pa.py_buffer(np.arange(0, len(v) * d + 1, d, dtype=np.int32))
+            packed = pa.Array.from_buffers(pa.binary(), len(v), [None, places, pa.py_buffer(np.ascontiguousarray(codes))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(errors)], schema=schema)
 
-        for batch in batches:
-            of, ids, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), d)
-            cuts = np.flatnonzero(np.diff(of)) + 1
-            for b, i, x in zip(np.split(of, cuts), np.split(ids, cuts), np.split(v, cuts)):
-                if held and held[0][0] != b[0]:
-                    yield flush()
-                    held.clear()
-                held.append((int(b[0]), i, x))
-        if held:
-            yield flush()
-
-    count = max(1, -(-n // block))
-    return vectors.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"), "id", "v").repartition("block").sortWithinPartitions("block", "id").mapInArrow(pack, ddl)
-
-
-def _scan(blocks: DataFrame, d: int, k: int, low: np.ndarray, width: np.ndarray, count: int) -> DataFrame:
-    """Candidates of every query: q, x, lb. A query's block is held while the approximations of all blocks pass by."""
-    ddl = "q bigint, x bigint, lb double"
+    return vectors.select("id", "v").mapInArrow(code, ddl)
+
+
+def _scan(coded: DataFrame, d: int, k: int, low: np.ndarray, width: np.ndarray, queries) -> DataFrame:
+    """Candidates of the queries: q, x, lb, ub. Each task keeps those that its own k-th smallest upper bound allows."""
+    ddl = "q bigint, x bigint, lb double, ub double"
     schema = arrow_schema(ddl)
-    queries = blocks.select(F.col("block").alias("task"), F.lit(-1).cast("bigint").alias("block"), "ids", F.col("v").alias("data"), F.lit(None).cast("binary").alias("errors"))
-    passing = blocks.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))).alias("task"), "block", "ids", F.col("codes").alias("data"), "errors")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = None
-        ids = q = norms = limit = None
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        uppers: np.ndarray | None = None
+        ids, q = queries.value
+        norms = (q.astype(np.float64) ** 2).sum(1).astype(np.float32)
+        uppers = np.full((len(q), k), np.inf, np.float32)
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
 
-        def flush() -> pa.RecordBatch:
-            i, x, lb = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            ok = lb <= limit[i]
-            return pa.RecordBatch.from_arrays([pa.array(ids[i[ok]]), pa.array(x[ok]), pa.array(lb[ok].astype(np.float64))], schema=schema)
+        def within() -> tuple[np.ndarray, ...]:
+            i, x, lb, ub = (np.concatenate(c) for c in zip(*found))
+            ok = lb <= uppers.max(axis=1)[i]
+            return i[ok], x[ok], lb[ok], ub[ok]
 
         for batch in batches:
-            for r in range(batch.num_rows):
-                now, block = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                names, data = np.frombuffer(batch.column(2)[r].as_buffer(), np.int64), batch.column(3)[r].as_buffer()
-                if block < 0:
-                    if task is not None:
-                        yield flush()
-                    task, ids, found = now, names, []
-                    q = np.frombuffer(data, np.float32).reshape(-1, d)
-                    norms = (q.astype(np.float64) ** 2).sum(1).astype(np.float32)
-                    uppers = np.full((len(q), k), np.inf, np.float32)
-                    limit = uppers[:, -1]
-                    continue
-                errors = np.frombuffer(batch.column(4)[r].as_buffer(), np.float32)
-                c = (low + (np.frombuffer(data, np.uint8).reshape(-1, d) + 0.5) * width).astype(np.float32)
-                sums = norms[:, None] + (c.astype(np.float64) ** 2).sum(1).astype(np.float32)
-                d2 = sums - 2 * (q @ c.T)
+            if not batch.num_rows:
+                continue
+            names, errors = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, d)
+            c = (low + (codes + 0.5) * width).astype(np.float32)
+            squares = (c.astype(np.float64) ** 2).sum(1).astype(np.float32)
+            for at in range(0, len(q), ABREAST):
+                some = slice(at, at + ABREAST)
+                sums = norms[some, None] + squares
+                d2 = sums - 2 * (q[some] @ c.T)
                 sums *= SLACK
                 near = np.sqrt(np.maximum(d2 - sums, 0))
                 near -= errors
                 near[near <= 0] = 0
-                near[ids[:, None] == names] = np.inf
+                near[ids[some, None] == names] = np.inf
+                limit = uppers[some].max(axis=1)
                 i, j = np.nonzero(near <= limit[:, None])
                 if not len(i):
                     continue
-                far = np.where(np.isinf(near[i, j]), np.inf, np.sqrt(np.maximum(d2[i, j] + sums[i, j], 0)) + errors[j]).astype(np.float32)
-                starts = np.searchsorted(i, np.arange(len(q) + 1))
-                order = np.lexsort((far, i))
-                at = np.arange(len(i)) - starts[i[order]]
-                best = np.full((len(q), k), np.inf, np.float32)
-                top = at < k
-                best[i[order][top], at[top]] = far[order][top]
-                uppers = np.partition(np.concatenate([uppers, best], axis=1), k - 1, axis=1)[:, :k]
-                limit = uppers.max(axis=1)
-                keep = (near[i, j] <= limit[i]) & np.isfinite(near[i, j])
-                found.append((i[keep], names[j[keep]], near[i, j][keep]))
-                if sum(len(f[0]) for f in found) > 64 * k * len(q):
-                    i, x, lb = (np.concatenate(c) for c in zip(*found))
-                    ok = lb <= limit[i]
-                    found = [(i[ok], x[ok], lb[ok])]
-        if task is not None:
-            yield flush()
-
-    return queries.unionByName(passing).repartition("task").sortWithinPartitions("task", "block").mapInArrow(scan, ddl)
-
-
-def search(table: DataFrame, k: int = K, id_name: str = "vec_id", vector_name: str = "embedding", block: int = BLOCK, step: int = STEP) -> DataFrame:
-    """The k nearest other vectors of every vector, exactly: vec_id, rank, neighbor_id, distance (Euclidean, 6 digits).
-
+                lb = near[i, j]
+                ub = np.where(np.isinf(lb), np.inf, np.sqrt(np.maximum(d2[i, j] + sums[i, j], 0)) + errors[j]).astype(np.float32)
+                starts = np.searchsorted(i, np.arange(len(limit) + 1))
+                order = np.lexsort((ub, i))
+                place = np.arange(len(i)) - starts[i[order]]
+                best = np.full((len(limit), k), np.inf, np.float32)
+                top = place < k
+                best[i[order][top], place[top]] = ub[order][top]
+                uppers[some] = np.partition(np.concatenate([uppers[some], best], axis=1), k - 1, axis=1)[:, :k]
+                keep = (lb <= uppers[some].max(axis=1)[i]) & np.isfinite(lb)
+                found.append((i[keep] + at, names[j[keep]], lb[keep], ub[keep]))
+                held += int(keep.sum())
+                if held > 32 * k * len(q):
+                    found = [within()]
+                    held = len(found[0][0])
+        if found:
+            i, x, lb, ub = within()
+            for at in range(0, len(i), 100_000):
+                s = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i[s]]), pa.array(x[s]), pa.array(lb[s].astype(np.float64)), pa.array(ub[s].astype(np.float64))], schema=schema)
+
+    return coded.mapInArrow(scan, ddl)
+
+
+def search(table: DataFrame, k: int = K, id_name: str = "vec_id", vector_name: str = "embedding", every: int = 1, queries: int = QUERIES, step: int = STEP) -> DataFrame:
+    """The k nearest other vectors of every query, exactly: vec_id, rank, neighbor_id, distance (Euclidean, 6 digits).
+
+    Queries are the vectors whose id is divisible by ``every``, and all
+    vectors are searched.  The queries are taken ``queries`` at a time, each
+    time in a pass over the approximations, which no shuffle moves.
     Ties, squared distances equal to 9 digits, go to the smaller id.  Which
     rows are usable is told by vectors.clean: nulls, NaN and odd lengths are
     left out as queries and as neighbours, and repeated ids count once.
@@ -138,15 +125,26 @@ def search(table: DataFrame, k: int = K, id_name: str = "vec_id", vector_name: s
     tables = Tables(spark, "va")
     vectors, d = clean(table, tables, id_name, vector_name)
     n = vectors.count()
+    none = spark.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, distance double")
     if not n:
-        return spark.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, distance double")
+        return none
     ends = vectors.agg(*[f(F.col("v")[i]) for i in range(d) for f in (F.min, F.max)]).first()
     low = np.array(ends[0::2], np.float64)
     width = np.maximum((np.array(ends[1::2], np.float64) - low) / LEVELS, 1e-12)
-    count = max(1, -(-n // block))
-    blocks = tables.write(_blocks(vectors, d, low, width, block, n), "blocks")
+    coded = tables.write(_coded(vectors, d, low, width), "coded")
+    parts = []
+    for ids, v in rounds(vectors, d, every, queries):
+        sent = spark.sparkContext.broadcast((ids, v))  # of bounded size
+        parts.append(tables.write(_scan(coded, d, k, low, width, sent), "found"))
+        sent.unpersist()
+    if not parts:
+        return none
+    found = together(parts)
+    kth_upper = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("ub", "x"))).filter(F.col("r") == k).select(F.col("q").alias("q_l"), F.col("ub").alias("limit"))
+    within = found.join(kth_upper, F.col("q") == F.col("q_l"), "left").filter(F.col("limit").isNull() | (F.col("lb") <= F.col("limit"))).select("q", "x", "lb")
     of = Window.partitionBy("q").orderBy("lb", "x")
-    candidates = tables.write(_scan(blocks, d, k, low, width, count).withColumn("place", F.row_number().over(of)), "candidates")
+    candidates = tables.write(within.withColumn("place", F.row_number().over(of)), "candidates")
+    tables.drop(coded, *parts)
     known = None
     open_ = candidates
     at, reach = 0, k + step
@@ -169,14 +167,14 @@ def search(table: DataFrame, k: int = K, id_name: str = "vec_id", vector_name: s
     return ranked(known, k)
 
 
-def sql(k: int = K) -> str:
+def sql(k: int = K, every: int = 1) -> str:
     """search over embeddings in DuckDB's SQL, for vectors of 64 components without nulls."""
     return f"""
 WITH v AS (SELECT vec_id, max(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64 GROUP BY vec_id),
 pairs AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id,
          list_sum(list_transform(range(1, 65), lambda i: (CAST(a.e[i] AS DOUBLE) - CAST(b.e[i] AS DOUBLE)) * (CAST(a.e[i] AS DOUBLE) - CAST(b.e[i] AS DOUBLE)))) AS d2
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d2, 9), neighbor_id) AS rank FROM pairs)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(sqrt(d2), 6) AS distance FROM placed WHERE rank <= {k}
 """

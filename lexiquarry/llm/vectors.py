@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import Tables, arrow_schema, column, require
 
 _CHUNKS = 16
+#: Queries that go to every task at once; more make more passes over the vectors.
+QUERIES = 16_384
+#: Queries that a task compares with a batch of vectors at a time.
+ABREAST = 1024
 
 
 def clean(table: DataFrame, tables: Tables, id_name: str = "vec_id", vector_name: str = "embedding") -> tuple[DataFrame, int]:
@@ -106,3 +110,20 @@ def ranked(distances: DataFrame, k: int) -> DataFrame:
         .filter(F.col("rank") <= k)
         .select(F.col("q").alias("vec_id"), "rank", F.col("x").alias("neighbor_id"), F.round(F.sqrt("d2"), 6).alias("distance"))
     )
+
+
+def rounds(vectors: DataFrame, d: int, every: int, most: int = QUERIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids and vectors of the queries, those whose id is divisible by ``every``, about ``most`` at a time."""
+    queries = vectors.filter(F.col("id") % every == 0)
+    count = -(-queries.count() // most)
+    for k in range(count):
+        rows = queries.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(count)) == k).orderBy("id").toArrow()
+        if rows.num_rows:
+            yield rows.column("id").to_numpy(), matrix(rows.column("v").combine_chunks(), d)
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -49,7 +49,7 @@ def got_of(df):
 def test_va_file_is_exact(spark, kind, n, d, k, step):
     x = vectors(n, d, kind)
     extra = [(None, [0.0] * d, 0, 0, 0), (9000, None, 0, 0, 0), (9001, [0.0] * (d + 1), 0, 0, 0), (9002, [float("nan")] * d, 0, 0, 0), (9003, [None] * d, 0, 0, 0), (0, [float(c) for c in x[0]], 0, 0, 0)]
-    assert got_of(va_file.search(table(spark, x, extra), k, block=64, step=step)) == brute(x, k)
+    assert got_of(va_file.search(table(spark, x, extra), k, queries=150, step=step)) == brute(x, k)
 
 
 def test_va_file_sql(spark):
@@ -58,10 +58,35 @@ def test_va_file_sql(spark):
     embeddings = table(spark, x).toPandas()
     con.register("embeddings", embeddings)
     want = brute(x, 10)
+    some = con.sql(va_file.sql(every=50)).fetchall()
+    assert {r[0] for r in some} == {0, 50} and set(some) <= set(con.sql(va_file.sql()).fetchall())
     rows = con.sql(va_file.sql()).fetchall()
     assert sorted(rows) == sorted((i, r + 1, j, dist) for i, near in want.items() for r, (j, dist) in enumerate(near))
 
 
+@pytest.mark.parametrize("search", [va_file.search, ivf_pq.search])
+def test_queries_are_a_stated_set(spark, search):
+    x = vectors(230, 6, "unit", 5)
+    want = brute(x, 10)
+    got = got_of(search(table(spark, x), every=50))
+    assert got == {i: want[i] for i in range(0, 230, 50)}
+    assert search(table(spark, x[1:3], [(51, [1.0] * 6, 0, 0, 0)]).filter("vec_id > 0"), every=50).count() == 0
+
+
+def test_ivf_pq_probes_few_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] * 3 + rng.normal(size=(3000, 16)) * 0.1).astype(np.float32)
+    flat = vectors(3000, 16, "unit", 4)
+    probes = []
+    for v in (x, flat):
+        frame = table(spark, v).selectExpr("vec_id AS id", "embedding AS v")
+        centres = ivf_pq.coarse(frame, 60, 16)
+        probes.append(ivf_pq.needed_probes(frame, centres, 16, 10))
+    assert probes[0] < 12 < probes[1]
+    got, want = got_of(ivf_pq.search(table(spark, x), every=7, cells=1.0, fit=500)), brute(x, 10)
+    assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 10 for i in got]) >= 0.9 and len(got) == 429
+
+
 @pytest.mark.parametrize("kind, n, d", [("unit", 2000, 64), ("grid", 500, 5), ("far", 600, 8)])
 def test_ivf_pq_recall(spark, kind, n, d):
     x = vectors(n, d, kind, 1)
