@@ -9,7 +9,9 @@ line's template.  Lines whose template many documents share are dropped.
 Nothing depends on the order of the lines, so the tree is built by
 aggregation: tasks first merge the equal lines of their input, one shuffle
 brings the lines of a leaf together, and only the lines of leaves that enough
-documents reach go any further.
+documents reach go any further.  Whether min_docs texts have something is
+told from up to so many of their keys, so that hot lines, leaves and words
+take no more room than others.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join
 from .common import Tables, arrow_schema, column, free_name, require, text_key
 
 DEPTH = 3
-MIN_WORDS = 5
 MIN_DOCS = 10
-SIMILARITY = 0.7
-MAX_SHARE = 0.5
+#: Share of a line's words without a digit that must be constant.
+SIMILARITY = 0.4
+#: Texts that would lose more than this share may be copies of one another, which is then looked into.
+HEAVY = 0.5
 #: Up to so many recurring lines of so many bytes in all go to every task; beyond, a join takes their place.
 SET_LINES, SET_BYTES = 1_000_000, 64 << 20
 WILD = "<*>"
@@ -40,10 +43,10 @@ _DIGIT = re.compile(r"[0-9]")
 _RARE = re.compile(r"[\x1c-\x1f]")
 
 
-def masked(line: str, min_words: int) -> str | None:
-    """The words of a line, those with a digit replaced; None for a line of fewer than min_words."""
+def masked(line: str) -> str | None:
+    """The words of a line, those with a digit replaced; None for a blank line."""
     words = line.split() if line.isascii() and not _RARE.search(line) else _WORD.findall(line)
-    if len(words) < min_words:
+    if not words:
         return None
     if _DIGIT.search(line):
         words = [WILD if _DIGIT.search(w) else w for w in words]
@@ -54,7 +57,7 @@ def _hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _lines(docs: DataFrame, depth: int, min_words: int, min_docs: int) -> DataFrame:
+def _lines(docs: DataFrame, depth: int, min_docs: int) -> DataFrame:
     """Distinct masked lines of a task's input, with up to min_docs keys of texts that have them."""
     ddl = "leaf bigint, line string, texts array<bigint>"
     schema = arrow_schema(ddl)
@@ -76,7 +79,7 @@ def _lines(docs: DataFrame, depth: int, min_words: int, min_docs: int) -> DataFr
         for batch in batches:
             for text, key in zip(batch.column(0), batch.column(1).to_pylist()):
                 for line in set((text.as_py() or "").split("\n")):
-                    name = masked(line, min_words)
+                    name = masked(line)
                     if name is None:
                         continue
                     have = seen.get(name)
@@ -95,181 +98,200 @@ def _lines(docs: DataFrame, depth: int, min_words: int, min_docs: int) -> DataFr
     return docs.select(text.alias("text"), text_key(text).alias("key")).mapInArrow(collect, ddl)
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, fields_differ: bool = True, tables: Tables | None = None) -> DataFrame:
-    """Masked lines whose template at least min_docs different texts share: line, template.
+def _leaves(docs: DataFrame, depth: int, min_docs: int) -> DataFrame:
+    """The distinct lines of the leaves that min_docs texts may reach: leaf, line, texts (up to min_docs keys).
 
-    Words with a digit count as not constant in ``similarity``, or, without
-    fields_differ, not at all; a line of nothing else has no template then.
+    The rows of a leaf pass by in order, so that no group of them is held.
     """
-    tables = tables or Tables(docs.sparkSession, "lines")
-    leaf = Window.partitionBy("leaf")
+    ddl = "leaf bigint, line string, texts array<bigint>"
+    schema = arrow_schema(ddl)
 
-    def texts(c: str):
-        return F.slice(F.array_distinct(F.flatten(F.collect_list(c))), 1, min_docs)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf = line = None
+        have: list[int] = []
+        waiting: list[tuple] = []  # of a leaf that hasn't been reached often enough so far
+        reached = 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal reached
+            if line is not None:
+                reached += len(have)
+                waiting.append((leaf, line, have))
+                if reached >= min_docs:
+                    out.extend(waiting)
+                    waiting.clear()
 
-    found = (
-        _lines(docs, depth, min_words, min_docs)
-        .repartition("leaf")
-        .withColumn("reached", F.sum(F.size("texts")).over(leaf))
-        .filter(F.col("reached") >= min_docs)
-        .groupBy("leaf", "line")
-        .agg(texts("texts").alias("texts"))
-    )
-    lines = tables.write(found, "leaves")
+        for batch in batches:
+            for at, name, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                if at == leaf and name == line:
+                    if len(have) < min_docs:
+                        have = list(dict.fromkeys(have + texts))[:min_docs]
+                    continue
+                close()
+                if at != leaf:
+                    waiting.clear()
+                    reached = 0
+                leaf, line, have = at, name, texts
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return _lines(docs, depth, min_docs).repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(merge, ddl)
+
+
+def _shared_by(rows: DataFrame, by: list[str], min_docs: int) -> DataFrame:
+    """The values of ``by`` that min_docs different keys in ``texts`` have; counted in parts, no group is held."""
+    return rows.select(*by, F.explode("texts").alias("key")).distinct().groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select(*by)
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, tables: Tables | None = None) -> DataFrame:
+    """Masked lines whose template at least min_docs different texts share: line, template. See drop_lines."""
+    tables = tables or Tables(docs.sparkSession, "lines")
+    lines = tables.write(_leaves(docs, depth, min_docs), "leaves")
     words = lines.select("leaf", "line", "texts", F.posexplode(F.split("line", " ")).alias("place", "word"))
     lead = F.col("place") < depth
-    constant = (
-        words.filter(~lead & (F.col("word") != WILD)).groupBy("leaf", "place", "word").agg(F.size(texts("texts")).alias("n")).filter(F.col("n") >= min_docs).select("leaf", "place", "word", F.lit(True).alias("fixed"))
-    )
+    constant = _shared_by(words.filter(~lead & (F.col("word") != WILD)), ["leaf", "place", "word"], min_docs).withColumn("fixed", F.lit(True))
     fixed = (F.col("word") != WILD) & (lead | F.coalesce("fixed", F.lit(False)))
     parsed = (
-        words.join(constant, ["leaf", "place", "word"], "left")
+        words.drop("texts")
+        .join(constant, ["leaf", "place", "word"], "left")
         .groupBy("leaf", "line")
         .agg(
-            F.first("texts").alias("texts"),
             F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(fixed, F.col("word")).otherwise(WILD).alias("w")))), lambda x: x["w"])).alias("template"),
-            F.avg(fixed.cast("double") if fields_differ else F.when(F.col("word") != WILD, fixed.cast("double"))).alias("alike"),
+            F.avg(F.when(F.col("word") != WILD, fixed.cast("double"))).alias("alike"),
         )
         .filter(F.col("alike") >= similarity)
-        .select("line", "texts", "template")
+        .select("leaf", "line", "template")
     )
-    parsed = tables.write(parsed, "parsed")
-    shared = parsed.groupBy("template").agg(F.size(texts("texts")).alias("n")).filter(F.col("n") >= min_docs).select("template")
-    out = tables.write(parsed.join(shared, "template", "left_semi").select("line", "template"), "recurring")
+    parsed = tables.write(parsed.join(lines, ["leaf", "line"]).select("line", "texts", "template"), "parsed")
+    out = tables.write(parsed.join(_shared_by(parsed, ["template"], min_docs), "template", "left_semi").select("line", "template"), "recurring")
     tables.drop(lines, parsed)
     return out
 
 
-def _apart(docs: DataFrame, recurring: DataFrame, min_words: int, min_docs: int, tables: Tables) -> DataFrame:
-    """Of recurring lines, those whose template min_docs texts share if near copies count as one text: line, template.
+def _hashed(recurring: DataFrame) -> DataFrame:
+    @F.pandas_udf("bigint")
+    def hash_of(lines: pd.Series) -> pd.Series:
+        return lines.map(_hash).astype("int64")
 
-    Texts that would lose more than MAX_SHARE are the ones that may be near
-    copies; the similar ones among them are found by their Jaccard similarity.
-    """
-    ddl = "key bigint, hash bigint, size bigint, whole bigint"
+    return recurring.select(hash_of("line").alias("hash"), F.xxhash64("template").alias("template")).distinct()
+
+
+def _known(recurring: DataFrame, set_lines: int):
+    """Broadcast map of the recurring lines' hashes to those of their templates, or None where they are too many."""
+    n, size = recurring.agg(F.count("*"), F.coalesce(F.sum(F.length("line")), F.lit(0))).first()
+    if n > set_lines or size > SET_BYTES:
+        return None
+    return recurring.sparkSession.sparkContext.broadcast({r["hash"]: r["template"] for r in _hashed(recurring).collect()})  # of checked size
+
+
+def _hits(docs: DataFrame, recurring: DataFrame, known) -> DataFrame:
+    """Which recurring lines each text has: key, hash, template, size (characters of its lines of that kind), whole (of the text)."""
+    ddl = "key bigint, hash bigint, template bigint, size bigint, whole bigint"
     schema = arrow_schema(ddl)
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The masked lines of each text and how many characters its lines of that kind have."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list[int]] = [[], [], [], []]
+            rows: list[list[int | None]] = [[], [], [], [], []]
             for t, key in zip(batch.column(0), batch.column(1).to_pylist()):
                 mine: dict[int, int] = {}
                 whole = t.as_py() or ""
                 for line in whole.split("\n"):
-                    if (x := masked(line, min_words)) is not None:
+                    if (x := masked(line)) is not None:
                         h = _hash(x)
-                        mine[h] = mine.get(h, 0) + len(line)
-                for values, more in zip(rows, ([key] * len(mine), mine, mine.values(), [len(whole)] * len(mine))):
+                        if known is None or h in known.value:
+                            mine[h] = mine.get(h, 0) + len(line)
+                templates = [None if known is None else known.value[h] for h in mine]
+                for values, more in zip(rows, ([key] * len(mine), mine, templates, mine.values(), [len(whole)] * len(mine))):
                     values += more
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=schema)
 
-    @F.pandas_udf("bigint")
-    def hash_of(lines: pd.Series) -> pd.Series:
-        return lines.map(_hash).astype("int64")
+    text = column(docs, "text")
+    found = docs.select(text.alias("text"), text_key(text).alias("key")).mapInArrow(find, ddl)
+    return found if known is not None else found.drop("template").join(_hashed(recurring), "hash").select("key", "hash", "template", "size", "whole")
 
+
+def _apart(docs: DataFrame, recurring: DataFrame, min_docs: int, set_lines: int, tables: Tables) -> DataFrame:
+    """Of recurring lines, those whose template min_docs texts share if near copies count as one text: line, template.
+
+    Texts that would lose more than HEAVY are the ones that may be near
+    copies; the similar ones among them are found by their Jaccard similarity.
+    """
+    known = _known(recurring, set_lines)
+    hits = tables.write(_hits(docs, recurring, known).distinct(), "hits")
+    heavy = hits.groupBy("key").agg((F.sum("size") > HEAVY * F.first("whole")).alias("heavy")).filter("heavy").select("key")
     text = column(docs, "text")
-    mine = docs.select(text.alias("text"), text_key(text).alias("key")).mapInArrow(sizes, ddl)
-    hits = tables.write(mine.join(recurring.select(hash_of("line").alias("hash"), "template"), "hash"), "hits")
-    heavy = hits.groupBy("key", "hash").agg(F.first("size").alias("size"), F.first("whole").alias("whole")).groupBy("key").agg((F.sum("size") > MAX_SHARE * F.first("whole")).alias("heavy")).filter("heavy").select("key")
     texts = docs.select(text.alias("text"), text_key(text).alias("key")).join(heavy, "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text")
     texts = tables.write(texts, "heavy")
     roots, _ = jaccard_join.similar_roots(texts, tables)
     counted = hits.select("key", "template").distinct().join(roots, F.col("key") == F.col("node"), "left")
-    shared = counted.groupBy("template").agg(F.countDistinct(F.coalesce("root", "key")).alias("n")).filter(F.col("n") >= min_docs).select("template")
-    out = tables.write(recurring.join(shared, "template", "left_semi").select("line", "template"), "apart")
+    shared = counted.select("template", F.coalesce("root", "key").alias("text")).distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select(F.col("template").alias("shared"))
+    out = tables.write(recurring.join(shared, F.xxhash64("template") == F.col("shared"), "left_semi").select("line", "template"), "apart")
     tables.drop(recurring, hits, texts)
+    if known is not None:
+        known.unpersist()
     return out
 
 
-def _strip(text: str | None, gone, min_words: int, max_share: float | None) -> tuple[str | None, int]:
-    """The text without the lines in gone, and how many went; unchanged if they make up more than max_share of it."""
+def _strip(text: str | None, gone) -> tuple[str | None, int]:
+    """The text without the lines in gone, and how many went."""
     if not text:
         return text, 0
     lines = text.split("\n")
-    drop = [(name := masked(x, min_words)) is not None and gone(name) for x in lines]
-    n = sum(drop)
-    if not n or (max_share is not None and sum(len(x) for x, d in zip(lines, drop) if d) > max_share * len(text)):
-        return text, 0
-    return "\n".join(x for x, d in zip(lines, drop) if not d), n
-
-
-def drop_lines(
-    docs: DataFrame,
-    depth: int = DEPTH,
-    min_words: int = MIN_WORDS,
-    min_docs: int = MIN_DOCS,
-    similarity: float = SIMILARITY,
-    max_share: float | None = MAX_SHARE,
-    counted: str | None = None,
-    set_lines: int = SET_LINES,
-    fields_differ: bool = True,
-) -> DataFrame:
+    kept = [x for x in lines if (name := masked(x)) is None or not gone(name)]
+    return (text, 0) if len(kept) == len(lines) else ("\n".join(kept), len(lines) - len(kept))
+
+
+def drop_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, counted: str | None = None, set_lines: int = SET_LINES) -> DataFrame:
     """The table with text (and n_chars, where there is one) without recurring lines; every row stays.
 
-    A line is parsed if it has at least min_words words (a shorter one stays).
-    A word at a place past the ``depth`` leading ones is constant if at least
-    min_docs different texts have it there in the same leaf.  The line goes if
-    at least ``similarity`` of its words are constant and at least min_docs
-    different texts have lines of its template; equal texts count as one.
-    Words with a digit are fields: they count as not constant, or, without
-    fields_differ, neither way, so that any number of them may vary.
-    A document of which more than max_share (by characters) would go is a
-    copy rather than a carrier of boilerplate and is left whole, for a
-    deduplication of documents to judge.  With a max_share of None lines go
-    whatever their share, and copies are told by comparison instead: texts
-    that would lose more than MAX_SHARE and are connected by a Jaccard
-    similarity as in ``jaccard_join`` count as one of the min_docs.
+    Every line that isn't blank is parsed, however short.  A word at a place
+    past the ``depth`` leading ones is constant if at least min_docs
+    different texts have it there in the same leaf; a word with a digit is a
+    field.  The line goes if at least ``similarity`` of its words without a
+    digit are constant, it has such a word, and at least min_docs different
+    texts have lines of its template.
+
+    Lines go whatever their share of a text.  But copies aren't boilerplate:
+    equal texts count as one of the min_docs, and so do texts that would lose
+    more than HEAVY (by characters) and are connected by a Jaccard similarity
+    as in ``jaccard_join``; a deduplication of documents is to judge them.
 
     Null and empty texts stay as they are; repeated rows are treated alike
-    and count once; an empty table gives an empty one; ids may be null and
-    other columns are kept, whatever their names.  ``counted`` names a column
-    to add with the number of lines dropped.
+    and count once; a very long text is handled whole; an empty table gives
+    an empty one; ids may be null and other columns are kept, whatever their
+    names.  ``counted`` names a column to add with the number of lines
+    dropped.  Lines are compared by 64-bit hashes.
     """
     require(docs, ["text"])
-    spark = docs.sparkSession
-    tables = Tables(spark, "lines")
-    recurring = recurring_lines(docs, depth, min_words, min_docs, similarity, fields_differ, tables)
-    if max_share is None:
-        recurring = _apart(docs, recurring, min_words, min_docs, tables)
-    n, size = recurring.agg(F.count("*"), F.coalesce(F.sum(F.length("line")), F.lit(0))).first()
+    tables = Tables(docs.sparkSession, "lines")
+    recurring = recurring_lines(docs, depth, min_docs, similarity, tables)
+    recurring = _apart(docs, recurring, min_docs, set_lines, tables)
+    known = _known(recurring, set_lines)
     held = free_name(docs, "stripped")
     kind = "text string, n int"
     text = column(docs, "text")
-    if n <= set_lines and size <= SET_BYTES:
-        shared = spark.sparkContext.broadcast({_hash(r[0]) for r in recurring.select("line").collect()})  # of checked size
+    if known is not None:
 
         @F.pandas_udf(kind)
         def strip(texts: pd.Series) -> pd.DataFrame:
-            gone = shared.value
-            return pd.DataFrame([_strip(t, lambda x: _hash(x) in gone, min_words, max_share) for t in texts], columns=["text", "n"])
+            gone = known.value
+            return pd.DataFrame([_strip(t, lambda x: _hash(x) in gone) for t in texts], columns=["text", "n"])
 
         out = docs.withColumn(held, strip(text))
     else:
-        ddl = "key bigint, hash bigint"
-        schema = arrow_schema(ddl)
-
-        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, found = [], []
-                for t, key in zip(batch.column(0), batch.column(1).to_pylist()):
-                    mine = {_hash(x) for line in (t.as_py() or "").split("\n") if (x := masked(line, min_words)) is not None}
-                    keys += [key] * len(mine)
-                    found += mine
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.int64())], schema=schema)
-
-        @F.pandas_udf("bigint")
-        def hash_of(lines: pd.Series) -> pd.Series:
-            return lines.map(_hash).astype("int64")
 
         @F.pandas_udf(kind)
         def strip_these(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-            rows = [(t, 0) if g is None else _strip(t, (lambda x, s=set(g): _hash(x) in s), min_words, max_share) for t, g in zip(texts, gone)]
+            rows = [(t, 0) if g is None else _strip(t, (lambda x, s=set(g): _hash(x) in s)) for t, g in zip(texts, gone)]
             return pd.DataFrame(rows, columns=["text", "n"])
 
         key, gone = free_name(docs, "text_key"), free_name(docs, "gone")
-        mine = docs.select(text.alias("text"), text_key(text).alias("key")).mapInArrow(hashes, ddl)
-        hit = mine.join(recurring.select(hash_of("line").alias("hash")).distinct(), "hash", "left_semi").groupBy("key").agg(F.collect_set("hash").alias(gone)).withColumnRenamed("key", key)
+        hit = _hits(docs, recurring, None).groupBy("key").agg(F.collect_set("hash").alias(gone)).withColumnRenamed("key", key)  # the lines of one text
         joined = docs.withColumn(key, text_key(text)).join(hit, key, "left")
         out = joined.withColumn(held, strip_these(column(joined, "text"), F.col(gone)))
     names = [c for c in docs.columns]
@@ -283,10 +305,10 @@ def drop_lines(
 def sql() -> str:
     """drop_lines over documents in DuckDB's SQL, with the default parameters."""
     return rf"""
-WITH texts AS (SELECT DISTINCT text FROM documents WHERE text <> ''),
+WITH RECURSIVE texts AS (SELECT DISTINCT text FROM documents WHERE text <> ''),
 split AS (SELECT text, unnest(string_split(text, chr(10))) AS line FROM texts),
-words AS (SELECT text, line, list_filter(string_split_regex(line, '[ \t\r\f\v]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT text, line FROM split)),
-kept AS (SELECT text, line, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{WILD}' ELSE x END) AS w FROM words WHERE len(w) >= {MIN_WORDS}),
+words AS (SELECT text, line, list_filter(string_split_regex(line, '[ 	]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT text, line FROM split)),
+kept AS (SELECT text, line, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{WILD}' ELSE x END) AS w FROM words WHERE len(w) >= 1),
 named AS (SELECT text, line, w, array_to_string(w, ' ') AS name, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM kept),
 hot AS (SELECT leaf FROM named GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_DOCS}),
 mine AS (SELECT DISTINCT n.text, n.name, n.leaf, n.w FROM named n SEMI JOIN hot USING (leaf)),
@@ -294,20 +316,25 @@ spread AS (SELECT text, name, leaf, unnest(w) AS word, generate_subscripts(w, 1)
 fixed AS (SELECT leaf, place, word FROM spread WHERE place > {DEPTH} AND word <> '{WILD}' GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_DOCS}),
 parsed AS (
   SELECT s.name, s.leaf, string_agg(CASE WHEN word <> '{WILD}' AND (place <= {DEPTH} OR f.leaf IS NOT NULL) THEN word ELSE '{WILD}' END, ' ' ORDER BY place) AS template,
-         avg(CASE WHEN word <> '{WILD}' AND (place <= {DEPTH} OR f.leaf IS NOT NULL) THEN 1.0 ELSE 0.0 END) AS alike
+         avg(CASE WHEN place <= {DEPTH} OR f.leaf IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (word <> '{WILD}') AS alike
   FROM (SELECT DISTINCT name, leaf, word, place FROM spread) s LEFT JOIN fixed f USING (leaf, place, word) GROUP BY s.name, s.leaf),
 alike AS (SELECT * FROM parsed WHERE alike >= {SIMILARITY}),
 shared AS (SELECT template FROM alike JOIN (SELECT DISTINCT text, name FROM mine) USING (name) GROUP BY template HAVING count(DISTINCT text) >= {MIN_DOCS}),
-gone AS (SELECT DISTINCT name FROM alike SEMI JOIN shared USING (template)),
+recurring AS (SELECT DISTINCT name, template FROM alike SEMI JOIN shared USING (template)),
+sized AS (SELECT text, line, count(*) * length(line) AS size FROM split GROUP BY text, line),
+hits AS (SELECT n.text, n.name, template, sum(size) AS size FROM named n JOIN recurring USING (name) JOIN sized s ON n.text = s.text AND n.line = s.line GROUP BY ALL),
+heavy AS (SELECT text FROM hits GROUP BY text HAVING sum(size) > {HEAVY} * length(text)),
+{jaccard_join.closure_sql("SELECT text FROM heavy")},
+grouped AS (SELECT x AS text, min(y) AS first_text FROM reach GROUP BY x),
+spread_out AS (SELECT template FROM hits LEFT JOIN grouped USING (text) GROUP BY template HAVING count(DISTINCT coalesce(first_text, text)) >= {MIN_DOCS}),
+gone AS (SELECT DISTINCT name FROM recurring SEMI JOIN spread_out USING (template)),
 drops AS (SELECT DISTINCT n.text, n.line FROM named n SEMI JOIN gone USING (name)),
 marked AS (
   SELECT t.text, t.place, t.line, d.line IS NOT NULL AS drop
   FROM (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM texts) t LEFT JOIN drops d ON t.text = d.text AND t.line = d.line),
 result AS (
-  SELECT text, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT drop), '') AS stripped, count(*) FILTER (drop) AS n, sum(length(line)) FILTER (drop) AS size
+  SELECT text, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT drop), '') AS stripped, count(*) FILTER (drop) AS n
   FROM marked GROUP BY text HAVING count(*) FILTER (drop) > 0)
-SELECT d.doc_id, CASE WHEN r.size <= {MAX_SHARE} * length(d.text) THEN r.stripped ELSE d.text END AS text,
-       CASE WHEN r.size <= {MAX_SHARE} * length(d.text) THEN length(r.stripped) ELSE d.n_chars END AS n_chars,
-       CASE WHEN r.size <= {MAX_SHARE} * length(d.text) THEN CAST(r.n AS INTEGER) ELSE 0 END AS n_dropped
+SELECT d.doc_id, coalesce(r.stripped, d.text) AS text, coalesce(length(r.stripped), d.n_chars) AS n_chars, CAST(coalesce(r.n, 0) AS INTEGER) AS n_dropped
 FROM documents d LEFT JOIN result r ON d.text = r.text
 """

@@ -62,18 +62,39 @@ def test_each_stage(spark, folder):
 
     mixed = stages["mixing sources"](spark, single, folder).cache()
     texts = {r[0]: r[1] or "" for r in rows_of(single)}
-    assert all(r[1] in texts[r[0]] and r[4] == len(r[1]) for r in rows_of(mixed))
+    assert all(r[1].removesuffix(mixing.END) in texts[r[0]] and r[4] == len(r[1]) for r in rows_of(mixed))
     totals = {}
     for r in rows_of(single):
         totals[r[3]] = totals.get(r[3], 0) + len(mixing.token_starts((r[1] or "").encode()))
-    blocks = mixing.mix(single)
-    assert blocks.count() == sum(-(-n // mixing.BLOCK) for n in totals.values())
-    assert blocks.selectExpr("sum(length(text))").first()[0] == mixed.selectExpr("sum(n_chars)").first()[0]
+    blocks = mixing.mix(single).collect()
+    assert len(blocks) == sum(-(-n // mixing.BLOCK) for n in totals.values())
+    assert sum(len(r.doc_ids) for r in blocks) == mixed.count()
+    assert sum(len(r.text.split()) for r in blocks) == sum(len(r[1].split()) for r in rows_of(mixed))
 
     order = mixed.collect()
     windows = stages["packing"](spark, mixed, folder).orderBy("window_id").collect()
-    stream = [x for r in order for x in [*tokens.vocabulary().encode(r.text).tolist(), tokens.END_ID]]
+    stream = [x for r in order for x in [*tokens.vocabulary().encode(r.text.removesuffix("\n")).tolist(), *[tokens.END_ID] * r.text.endswith("\n")]]
     assert [x for w in windows for x in np.frombuffer(w.ids, "<u2").tolist()] == stream
+    assert 0 < stream.count(tokens.END_ID) < len(order)
+
+
+def test_odd_tables(spark, folder):
+    """Empty tables, repeated rows, nulls, a very long text and further columns, through all stages."""
+    stages = corpus_pipeline.STAGES
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = (900, "a very long text of many words " * 100_000, "en", "s0", 3_100_000)
+    odd = [long, long, (901, None, None, None, None), (None, "no id here", "en", None, 10), (902, "", "en", "s1", 0)]
+    more = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "1 AS key", "2 AS gone_id", "3 AS part", "'x' AS Stripped", "4 AS `a.b`")
+    for table in (docs.limit(0), more):
+        rows = table
+        for k, (name, stage) in enumerate(stages):
+            rows = stage(spark, rows, folder).cache()
+            n = rows.count()
+            assert (n == 0) == (table is not more), name
+            if k < 3:
+                assert rows.columns == table.columns
+            elif k == 3:
+                assert rows.columns == COLUMNS
 
 
 def test_run(spark, folder):
