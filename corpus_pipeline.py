@@ -13,32 +13,43 @@ from lexiquarry.llm.common import Tables, documents
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject.
+
+    Null and empty texts aren't rejected; repeated rows are treated alike; all columns are kept.
+    """
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template recurs, however short they are.
+    """All documents, without lines whose template recurs.
 
-    Any number of a template's words may have digits, and 60 % of the others may vary.
-    Lines go whatever their share of a document; near copies count as one document.
+    Null and empty texts stay as they are; repeated rows are treated alike; all columns are kept.
     """
-    return line_templates.drop_lines(docs, min_words=1, similarity=0.4, fields_differ=False, max_share=None)
+    return line_templates.drop_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones."""
+    """One document of each group of similar ones, that with the smallest doc_id.
+
+    Rows with a null doc_id and texts without words stay; rows with the same
+    doc_id stay or go together; all columns are kept.
+    """
     return jaccard_join.distinct_documents(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as came in, in blocks drawn by the sources' weights; a row for each document's share of a block."""
+    """As many tokens as came in, in blocks drawn by the sources' weights; a row for each document's share of a block.
+
+    The rows have the five columns of documents and no others.  A newline
+    ends the row with which a document ends, and no other row.  Null and
+    empty texts have no token and no row; a null source is a source.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of token ids."""
-    return packing.pack(docs)
+    """Windows of token ids, with the end id only where a document ends."""
+    return packing.pack(docs, ends=mixing.END)
 
 
 STAGES = [
