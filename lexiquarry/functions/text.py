@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..plans.parser import glob_prefix, glob_regex
 
+#: Blanks, as in a class of a regular expression: those of ASCII, its separators, and the ones that Unicode adds, such as the no-break space.
+BLANK = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 #: A punctuation mark or symbol is a token by itself; so is any run of other characters that aren't blanks.
-TOKEN = r"[\p{P}\p{S}]|[^\s\p{P}\p{S}]+"
-_SPACED = rf"\s*({TOKEN})"
+TOKEN = rf"[\p{{P}}\p{{S}}]|[^{BLANK}\p{{P}}\p{{S}}]+"
+_SPACED = rf"[{BLANK}]*({TOKEN})"
 
 TOKEN_TYPE = "struct<text: string, number: double, block: int, length: int, left_space: boolean, is_punct: boolean, is_first: boolean>"
 BLOCKS_TYPE = "array<struct<text: string, number: double>>"
@@ -77,3 +79,31 @@ def strmatch(text: Column, pattern: str) -> Column:
         return text == pattern
     found = text.rlike(glob_regex(pattern))
     return text.startswith(prefix) & found if prefix else found
+
+
+def crossing(tags: Column) -> Column:
+    """Whether two tags over blocks overlap without one lying within the other."""
+    return F.exists(tags, lambda a: F.exists(tags, lambda b: (a["lower"] < b["lower"]) & (b["lower"] <= a["upper"]) & (a["upper"] < b["upper"])))
+
+
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+#: What is no text in a page, and what then ends a block or merely is a tag.
+PAGE = [(r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>", " "), (r"(?is)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|nav|article|section|header|footer|body|html)\b[^>]*>", "\n"), (r"(?s)<[^>]*>", "")]
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+
+
+def unescaped(html: Column) -> Column:
+    for entity, char in _ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(char))
+    return html
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments and its head, blocks in lines."""
+    for pattern, by in PAGE:
+        html = F.regexp_replace(html, pattern, by)
+    return unescaped(html)
+
+
+def page_title(html: Column) -> Column:
+    return unescaped(F.regexp_extract(html, TITLE, 1))

@@ -7,22 +7,31 @@ that it covers, outermost first).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fields import Fields
-from ..functions.text import BLOCKS_TYPE, TAGS_TYPE, block_tokens, innermost, lower_term
+from ..functions.text import BLOCKS_TYPE, TAGS_TYPE, block_tokens, crossing, innermost, lower_term, token_texts
 
 PLAIN_FORM = 255
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """doc_id, blocks, tags: a plain text is one block without tags; nulls have no blocks."""
-    if "blocks" in docs.columns:
-        tags = F.coalesce(docs["tags"], F.array().cast(TAGS_TYPE)) if "tags" in docs.columns else F.array().cast(TAGS_TYPE)
-        return docs.select("doc_id", F.coalesce(docs["blocks"], F.array().cast(BLOCKS_TYPE)).cast(BLOCKS_TYPE).alias("blocks"), tags.cast(TAGS_TYPE).alias("tags"))
-    one = F.array(F.struct(docs["text"].alias("text"), F.lit(None).cast("double").alias("number")))
-    return docs.select("doc_id", F.when(docs["text"].isNotNull(), one).otherwise(F.array()).cast(BLOCKS_TYPE).alias("blocks"), F.array().cast(TAGS_TYPE).alias("tags"))
+    """doc_id, blocks, tags: a plain text is one block without tags; nulls have no blocks. Tags that cross are an error."""
+    none = F.array().cast(BLOCKS_TYPE)
+    one = F.lit(None).cast(BLOCKS_TYPE)
+    if "text" in docs.columns:
+        one = F.when(docs["text"].isNotNull(), F.array(F.struct(docs["text"].alias("text"), F.lit(None).cast("double").alias("number"))).cast(BLOCKS_TYPE))
+    blocks = F.coalesce(docs["blocks"].cast(BLOCKS_TYPE), one, none) if "blocks" in docs.columns else F.coalesce(one, none)
+    tags = F.array().cast(TAGS_TYPE)
+    if "blocks" in docs.columns and "tags" in docs.columns:
+        tags = F.coalesce(docs["tags"].cast(TAGS_TYPE), tags)
+        tags = F.when(crossing(tags), F.raise_error(F.lit("tags overlap: one must lie within the other"))).otherwise(tags)
+    return docs.select("doc_id", blocks.alias("blocks"), tags.alias("tags"))
 
 
 def discover_fields(docs: DataFrame, fields: Fields | None = None) -> Fields:
@@ -129,6 +138,65 @@ def contents_rich(terms: DataFrame) -> DataFrame:
     return rows.select("term", "doc_id", F.size("hits").alias("tf"), F.col("hits.pos").alias("positions"), F.col("hits.form").alias("forms"))
 
 
+POSTINGS = "term string, doc_id bigint, tf int, positions array<int>, forms array<int>"
+
+
+def plain_postings(docs: DataFrame) -> DataFrame:
+    """contents_rich of texts without fields, numbers and a dictionary: POSTINGS.
+
+    All tokens of a document are in its row, so they are grouped there, a
+    batch of documents at a time, and nothing is shuffled.
+    """
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            if not batch.num_rows or not len(words.flatten()):
+                continue
+            sizes = np.diff(words.offsets.to_numpy())
+            coded = words.flatten().dictionary_encode()
+            code, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.lexsort((code, doc))  # stable: positions ascend
+            code, doc = code[order], doc[order]
+            starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
+            ends = pa.array(np.append(starts, len(code)).astype(np.int32))
+            forms = pa.array(np.full(len(code), PLAIN_FORM, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(code[starts])).cast(pa.string()), batch.column(0).take(pa.array(doc[starts])), pa.array(np.diff(np.append(starts, len(code))).astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(pos[order].astype(np.int32))), pa.ListArray.from_arrays(ends, forms)],
+                names=["term", "doc_id", "tf", "positions", "forms"],
+            )
+
+    words = F.transform(token_texts(docs["text"]), lower_term)
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), words.alias("words")).mapInArrow(group, POSTINGS)
+
+
+def is_plain(docs: DataFrame, fields: Fields | None = None) -> bool:
+    """Whether documents are texts all of which is searched."""
+    return "blocks" not in docs.columns and all(f.index for f in fields or ())
+
+
+def postings(docs: DataFrame, fields: Fields | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """Where each document has each term, of what is indexed: POSTINGS."""
+    if lexicon is None and is_plain(docs, fields):
+        return plain_postings(docs)
+    return contents_rich(terms(indexed(images(docs, fields), fields), lexicon))
+
+
+def lengths(docs: DataFrame, fields: Fields | None = None) -> DataFrame:
+    """doc_id, n_words and markup of each document."""
+    if "blocks" in docs.columns:
+        return images(docs, fields).select("doc_id", "n_words", "markup")
+    nothing = F.array().cast("array<struct<field: string, field_id: int, lower: int, upper: int>>")
+    return docs.select("doc_id", F.size(token_texts(docs["text"])).alias("n_words"), nothing.alias("markup"))
+
+
+def numbers(docs: DataFrame) -> DataFrame:
+    """The number blocks of documents by value, in order: number, doc_id, tf, positions. Stored so, a range of numbers is a range of rows."""
+    rows = tokenize(images(docs)).filter("number IS NOT NULL")
+    return rows.groupBy("number", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("number", "doc_id", F.size("positions").alias("tf"), "positions")
+
+
 def key_stats(postings: DataFrame) -> DataFrame:
     """Number of documents of every term."""
     return postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -139,19 +207,3 @@ def field_at(images: DataFrame, fields: Fields) -> DataFrame:
     covering = F.filter("markup", lambda m: (m["lower"] <= F.col("pos")) & (m["upper"] >= F.col("pos")))
     rows = images.select("doc_id", "markup", F.posexplode("tokens").alias("pos", "token"))
     return rows.select("doc_id", "pos", F.coalesce(F.when(F.size(covering) > 0, F.element_at(covering, -1)["field_id"]), F.lit(0)).alias("field_id"))
-
-
-def valid_markup(tags: list[tuple[int, int, int]]) -> bool:
-    """Whether tags (field, lower, upper), outermost first, are nested or apart; others can't be stored."""
-    open_: list[tuple[int, int]] = []
-    last = -1
-    for _, lower, upper in tags:
-        if lower > upper or lower < last:
-            return False
-        last = lower
-        while open_ and open_[-1][1] < lower:
-            open_.pop()
-        if open_ and upper > open_[-1][1]:
-            return False
-        open_.append((lower, upper))
-    return True

@@ -9,7 +9,7 @@ document leave the JVM, and only for documents that match.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import pandas as pd
@@ -32,30 +32,48 @@ ENTRIES = f"array<{ENTRY}>"
 
 @dataclass
 class Corpus:
-    """What queries run over: postings (term, doc_id, tf, positions, forms) and images (doc_id, tokens, n_words, markup)."""
+    """What queries run over: postings (term, doc_id, tf, positions, forms) and lengths (doc_id, n_words, markup).
+
+    The documents themselves are read only where texts are shown.
+    """
 
     postings: DataFrame
-    images: DataFrame
+    docs: DataFrame
+    lengths: DataFrame
     fields: Fields = field(default_factory=Fields)
     lexicon: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, fields: Fields | None = None, lexicon: DataFrame | None = None) -> Corpus:
-        """Analyse documents. With a stored index, see sources.index, this is done once."""
+        """Analyse documents, again for each query; ``stored`` does it once."""
         fields = analysis.discover_fields(docs, fields)
-        images = analysis.images(docs, fields)
-        return cls(analysis.contents_rich(analysis.terms(analysis.indexed(images, fields), lexicon)), images, fields, lexicon)
+        return cls(analysis.postings(docs, fields, lexicon), docs, analysis.lengths(docs, fields), fields, lexicon)
+
+    def stored(self, path: str) -> Corpus:
+        """Write what queries read to a folder that all executors share."""
+        read = self.postings.sparkSession.read
+        write_postings(self.postings, path)
+        self.lengths.write.parquet(f"{path}/lengths")
+        return Corpus(read.parquet(f"{path}/postings"), self.docs, read.parquet(f"{path}/lengths"), self.fields, self.lexicon)
+
+    @property
+    def images(self) -> DataFrame:
+        return analysis.images(self.docs, self.fields)
+
+    def images_of(self, found: DataFrame) -> DataFrame:
+        """Images of the documents that a query found: no other text is divided into tokens."""
+        return analysis.images(self.docs.join(found.select("doc_id"), "doc_id", "left_semi"), self.fields)
 
     @cached_property
     def size(self) -> int:
-        return self.images.count()
+        return self.lengths.count()
 
     @cached_property
     def key_stats(self) -> DataFrame:
         return analysis.key_stats(self.postings)
 
     def doc_stats(self) -> DataFrame:
-        return self.images.select("doc_id", "n_words")
+        return self.lengths.select("doc_id", "n_words")
 
     def terms_of(self, some: set[str]) -> dict[str, list[tuple[str, list[int]]]]:
         """Terms of words, with the forms that each word stands for."""
@@ -67,6 +85,18 @@ class Corpus:
         return {w: found or [(w.lower(), [])] for w, found in out.items()}
 
 
+def write_postings(postings: DataFrame, at: str) -> None:
+    """Postings by term and document, so that a query's words reach few row groups and the most frequent are in many files.
+
+    They are written twice: the range partitioning reads its input twice, which then is no analysis.
+    """
+    spark = postings.sparkSession
+    postings.write.parquet(f"{at}/unsorted")
+    spark.read.parquet(f"{at}/unsorted").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/unsorted")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @dataclass
 class Stats:
     """Number of documents and weights of a query's words; those of wildcards are under the pattern in braces."""
@@ -363,6 +393,10 @@ def _tuples(plan: Plan, leaf_entries, fields: Fields) -> Column:
     return near(*[parts[i] for i in order])
 
 
+def _asks_fields(plan: Plan) -> bool:
+    return plan.kind in ("cover", "match") or any(map(_asks_fields, plan.parts))
+
+
 def _needs_tuples(plan: Plan, entries) -> Column:
     """Whether a document with these entries can have tuples: excluded operands must have none."""
     if plan.kind == "!":
@@ -413,7 +447,8 @@ def rich(corpus: Corpus, query: str | Node, stats: Stats | None = None, fields:
     by_doc = weighed.groupBy("doc_id").agg(*[F.flatten(F.collect_list(F.when(F.col("leaf") == p.leaf, F.col("hits")))).alias(f"hits_{p.leaf}") for p in leaves])
     matched = by_doc.filter(_needs_tuples(plan, lambda k: F.size(f"hits_{k}") > 0))
     about = None if fields is None else [F.lit(i) for i in corpus.fields.ids(fields)]
-    with_docs = matched.join(corpus.images.select("doc_id", "n_words", "markup"), "doc_id")
+    spans = about is not None or _asks_fields(plan)
+    with_docs = matched.join(corpus.lengths if spans else corpus.lengths.select("doc_id", "n_words", F.array().cast("array<struct<field_id: int, lower: int, upper: int>>").alias("markup")), "doc_id")
 
     def field_of(pos: Column) -> Column:
         around = F.filter("markup", lambda m: (m["lower"] <= pos) & (m["upper"] >= pos))
@@ -433,6 +468,15 @@ def rich(corpus: Corpus, query: str | Node, stats: Stats | None = None, fields:
     return out.filter(F.size("entries") > 0)
 
 
+def number_range(numbers: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Documents with numbers from low to high, both included: doc_id, tf, least, most. See analysis.numbers."""
+    if low is not None:
+        numbers = numbers.filter(F.col("number") >= low)
+    if high is not None:
+        numbers = numbers.filter(F.col("number") <= high)
+    return numbers.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.min("number").alias("least"), F.max("number").alias("most"))
+
+
 def rich_search(corpus: Corpus, query: str | Node, stats: Stats | None = None, fields: list[str] | None = None, k: int | None = None) -> DataFrame:
     """Documents with tuples, scored by their heaviest: doc_id, score; the k best, if given."""
     scored = rich(corpus, query, stats, fields).select("doc_id", F.array_max(F.transform("entries", lambda e: e["weight"])).alias("score"))
@@ -444,6 +488,10 @@ def tuples(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.*")
 
 
-def within(found: DataFrame, low: int, high: int) -> DataFrame:
-    """The part of a result with ids from low to high, for queries that are divided by document."""
-    return found.filter(F.col("doc_id").between(low, high))
+def within(corpus: Corpus, low: int, high: int) -> Corpus:
+    """The corpus of the documents with ids from low to high, for queries that are divided by document.
+
+    The bounds reach the files; weights are still to come from the whole (see rank_terms).
+    """
+    some = F.col("doc_id").between(low, high)
+    return replace(corpus, postings=corpus.postings.filter(some), docs=corpus.docs.filter(some), lengths=corpus.lengths.filter(some))

@@ -20,7 +20,7 @@ def test_query(spark, name):
         assert got.count() > 0
         return
     db = duckdb.connect()
-    for t in ("documents", "conversations", "orders"):
+    for t in ("documents", "conversations", "orders", "pages", "benchmark", "events"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.execute(queries.SQL[name])
     assert rows(got.columns, got.collect()) == rows([c[0] for c in want.description], want.fetchall())
