@@ -435,6 +435,7 @@ SQL = {
     "rich_or": _with(f"SELECT {_ROW} WHERE term IN ('the', 'of')"),
     "rich_quote": _phrase_sql(["of", "the"]),
     "rich_order": _phrase_sql(["in", "the", "of"]),
+    "rich_and": _with("SELECT doc_id, pos AS lower, upper, round(1 - (1 - (SELECT w FROM w WHERE term = 'the')) * (1 - (SELECT w FROM w WHERE term = 'of')), 6) AS weight FROM (SELECT doc_id, pos, min(pos) FILTER (lower(text) = 'of') OVER later AS next_of, min(pos) FILTER (lower(text) = 'the') OVER later AS next_the, CASE lower(text) WHEN 'the' THEN next_of ELSE next_the END AS upper FROM tok WHERE lower(text) IN ('the', 'of') WINDOW later AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE upper IS NOT NULL"),
     "rich_context": _phrase_sql(["of", "the"]) + " AND NOT EXISTS (SELECT 1 FROM tok t2 WHERE t2.doc_id = t0.doc_id AND t2.pos = t0.pos + 2 AND lower(t2.text) = 'in') UNION ALL SELECT " + _ROW + " WHERE term = 'the'",
     "rich_not": _with(f"SELECT {_ROW} WHERE term = 'the' AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'of')"),
     "rich_wildcard": _with(f"SELECT {_ROW} WHERE term LIKE 'th_n'"),

@@ -5,9 +5,11 @@ import math
 import random
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexiquarry import queries
 from lexiquarry.fields import Fields
 from lexiquarry.functions import kernels
 from lexiquarry.operators import analysis, search, snippets
@@ -120,7 +122,10 @@ def test_tokens(spark):
     assert (at[0], at[12], at[15], at[21]) == (0, 0, 1, 0)
     texts = spark.createDataFrame([(1, "Tom, (the) cat")], "doc_id bigint, text string")
     assert [(r.text, r.offset) for r in analysis.token_offsets(analysis.tokenize(analysis.images(texts))).orderBy("pos").collect()] == [("Tom", 0), (",", 3), ("(", 5), ("the", 6), (")", 9), ("cat", 11)]
-    assert analysis.valid_markup([(0, 20, 28), (1, 22, 26), (2, 22, 23), (2, 25, 26), (1, 27, 28), (0, 29, 30)]) and not analysis.valid_markup([(0, 1, 5), (1, 3, 7)])
+    nested = [("a", 0, 3), ("b", 1, 2), ("c", 2, 2), ("d", 3, 3)]
+    assert analysis.images(spark.createDataFrame([(1, T("x", "y", "z", "w"), nested)], DOCS)).first().n_words == 4
+    with pytest.raises(Exception, match="tags overlap"):
+        analysis.images(spark.createDataFrame([(1, T("x", "y", "z", "w"), [("a", 0, 2), ("b", 1, 3)])], DOCS)).collect()
 
 
 def test_contents(spark):
@@ -227,3 +232,89 @@ def test_rich_is_within_mini(spark):
         mini = {r.doc_id for r in search.mini(c, q, stats).collect()}
         rich = {r.doc_id for r in search.rich(c, q, stats).collect()}
         assert rich <= mini and rich
+
+
+def test_blanks_of_unicode(spark):
+    """The no-break space and others divide words, in texts and in queries alike."""
+    blanks = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    docs = spark.createDataFrame([(1, "foo\u00a0bar baz"), (2, "x" + "x".join(blanks) + "x"), (3, "foobar")], "doc_id bigint, text string")
+    c = search.Corpus.of(docs)
+    assert points(search.rich(c, '"foo bar"')) == points(search.rich(c, '"foo\u00a0bar"')) == {1: [(0, 1, [0, 1])]}
+    assert [r.doc_id for r in search.mini(c, "bar").collect()] == [1]
+    assert {r.doc_id: r.n_words for r in c.lengths.collect()} == {1: 3, 2: len(blanks) + 1, 3: 1}
+    img = {r.doc_id: r for r in c.images.collect()}
+    assert [t.left_space for t in img[1].tokens] == [False, True, True] and img[2].n_words == len(blanks) + 1
+
+
+def test_postings_are_the_same_in_rows_and_by_shuffle(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, " . "), (9004, "İΑΣ ß " * 3000)], "doc_id bigint, text string"))
+    rows = lambda df: sorted((r.term, r.doc_id, r.tf, r.positions, r.forms) for r in df.collect())
+    got = rows(analysis.postings(docs))
+    assert got == rows(analysis.contents_rich(analysis.terms(analysis.tokenize(analysis.images(docs))))) and len(got) > 10_000
+    assert analysis.postings(docs.limit(0)).count() == 0
+    lengths = {r.doc_id: r.n_words for r in analysis.lengths(docs).collect()}
+    assert lengths == {r.doc_id: r.n_words for r in analysis.images(docs).collect()}
+
+
+def test_number_ranges(spark):
+    docs = spark.createDataFrame([(1, [(None, 5.0), ("x", None), (None, -3.5)], []), (2, [(None, 100.0), (None, 5.0)], []), (3, [("5", None)], [])], DOCS)
+    numbers = analysis.numbers(docs)
+    assert sorted((r.number, r.doc_id, r.positions) for r in numbers.collect()) == [(-3.5, 1, [2]), (5.0, 1, [0]), (5.0, 2, [1]), (100.0, 2, [0])]
+    found = lambda *x: sorted(tuple(r) for r in search.number_range(numbers, *x).collect())
+    assert found(-10, 5) == [(1, 2, -3.5, 5.0), (2, 1, 5.0, 5.0)] and found(5.5) == [(2, 1, 100.0, 100.0)] and len(found()) == 2 and found(None, -4) == []
+
+
+# ---------------------------------------------------------------- whole tables in plain Python
+
+TOKENS = regex.compile(r"\s*([\p{P}\p{S}]|[^\s\p{P}\p{S}]+)")
+
+
+def plain_table(spark, terms):
+    """Of every document of the table: its tokens (text, whether a blank is before it) and the positions of the terms; weights of the terms."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    texts = {r.doc_id: [(m[1], len(m[0]) > len(m[1])) for m in TOKENS.finditer(r.text or "")] for r in rows}
+    at = {d: {t: [i for i, (x, _) in enumerate(ws) if x.lower() == t] for t in terms} for d, ws in texts.items()}
+    weights = {t: math.log((1 + len(rows)) / sum(bool(x[t]) for x in at.values())) / math.log(1 + len(rows)) for t in terms}
+    return texts, at, weights
+
+
+def test_every_tuple_of_and(spark):
+    """Each position with the next one of the other word."""
+    _, at, w = plain_table(spark, ["the", "of"])
+    want = []
+    for d, x in at.items():
+        for a, b in (("the", "of"), ("of", "the")):
+            want += [(d, p, min(q for q in x[b] if q > p)) for p in x[a] if any(q > p for q in x[b])]
+    got = queries.QUERIES["rich_and"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.lower, r.upper) for r in got) == sorted(want) and len(want) > 1000
+    assert all(r.weight == pytest.approx(1 - (1 - w["the"]) * (1 - w["of"]), abs=1e-6) for r in got)
+
+
+def test_every_tuple_of_fuzzy(spark):
+    _, at, w = plain_table(spark, ["the", "of", "in"])
+    order = sorted(range(3), key=lambda k: -w[["the", "of", "in"][k]])
+    names = [["the", "of", "in"][k] for k in order]
+    want = []
+    for d, x in at.items():
+        operands = [[(p, p, w[t], [(p, t)]) for p in x[t]] for t in names]
+        want += [(d, e[0], e[1], round(e[2], 6)) for e in kernels.fuzzy(operands, [w[t] for t in names], order, 0.7 * sum(w.values()))] if sum(w[t] for t in names if x[t]) >= 0.7 * sum(w.values()) - 1e-12 else []
+    got = queries.QUERIES["rich_fuzzy"](spark, "/root/testdata/sf0.001").collect()
+    assert [r[:3] for r in sorted(tuple(r) for r in got)] == [r[:3] for r in sorted(want)] and len(want) > 500
+    assert all(a == pytest.approx(b, abs=2e-6) for a, b in zip((r[3] for r in sorted(tuple(r) for r in got)), (r[3] for r in sorted(want))))
+
+
+def test_every_snippet(spark):
+    """Hits and the words around them, up to a mark that breaks; cut ends have dots."""
+    texts, at, _ = plain_table(spark, ["the", "of"])
+    got = {r.doc_id: r.snippet for r in queries.QUERIES["snippet"](spark, "/root/testdata/sf0.001").collect()}
+    want = {d for d, x in at.items() if x["the"] and x["of"] and (max(x["the"]) > min(x["of"]) or max(x["of"]) > min(x["the"]))}
+    assert got.keys() == want and len(want) > 50
+    for d, shown in got.items():
+        hits = {p for e in kernels.all_of([[(p, p, 0.5, [(p, 0)]) for p in at[d]["the"]], [(p, p, 0.5, [(p, 1)]) for p in at[d]["of"]]]) for p, _ in e[3]}
+        marked = regex.findall(r"\[(.*?)\]", shown.replace("[[", "[").replace("]]", "]"))
+        assert [x.lower() for x in marked if x.lower() in ("the", "of")] == [texts[d][p][0].lower() for p in sorted(hits)]
+        plain = "".join((" " if blank else "") + (f"[{x}]" if i in hits else x) for i, (x, blank) in enumerate(texts[d]))
+        for piece in shown.split(" / "):
+            for part in piece.strip("… ").split("…"):
+                assert part.strip() in plain
