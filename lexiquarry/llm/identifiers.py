@@ -5,8 +5,8 @@ that is assigned to a name, as in ``name: word`` or ``name=word``.  Strict
 recognisers name some of them: the seeds.  Every candidate is tied to lexical
 patterns: its shape, its head and tail, the words on either side.  Seeds lend
 their kind to patterns, patterns in which one kind prevails lend it to their
-other instances, and so on for a few rounds over the graph of patterns and
-instances; what confident patterns reach is found although no recogniser
+other instances, and so on over the graph of patterns and instances until
+nothing changes; what confident patterns reach is found although no recogniser
 knows it.
 """
 
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Tables, arrow_schema, column, require, text_key
 
-ROUNDS = 3
+#: Rounds go on until no kind and no score (to 6 digits) changes; scores that never settle end here.
+ROUNDS = 30
 CONFIDENCE = 0.5
 SUPPORT = 3
 #: What an instance of unknown kind weighs against a pattern, next to one of another kind.
@@ -40,7 +41,6 @@ _PHONE = re.compile(r"\+1 \(?[2-9][0-9]{2}\)?[ -][2-9][0-9]{2}[ -][0-9]{4}|\+[2-
 _IP = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})")
 _CARD = re.compile(r"[3-6][0-9]{12,18}|[3-6][0-9]{3}([ -][0-9]{4}){3}")
 _KEY = re.compile(r"akia[0-9a-z]{16}|(password|passwd|pwd|secret|token|api[_-]?key)[=:]\S*[0-9]\S*")
-_ASSIGNED = re.compile(r"([^\s=:]+)\s*([=:])\s*[\"'`]?$")
 _ASSIGNS = re.compile(r"[^\s=:]+[=:].*[^\W_]")
 _NAMED = re.compile(r"(password|passwd|pwd|secret|token|api[_-]?key) ?[=:]")
 
@@ -53,6 +53,24 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def assigned(text: str, start: int) -> tuple[str, str, int] | None:
+    """Name and sign of an assignment (``name = "``, ``name:``) that ends at start, and where it begins."""
+    i = start
+    if i and text[i - 1] in "\"'`":
+        i -= 1
+    while i and text[i - 1].isspace():
+        i -= 1
+    if not i or text[i - 1] not in "=:":
+        return None
+    end = i - 1
+    while end and text[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin and not text[begin - 1].isspace() and text[begin - 1] not in "=:":
+        begin -= 1
+    return (text[begin:end], text[i - 1], begin) if begin < end else None
+
+
 def seed_kind(entity: str, left: str) -> str | None:
     """What the strict recognisers take a candidate (in lower case) for, given the word before it, with the sign of an assignment."""
     if _EMAIL.fullmatch(entity):
@@ -116,10 +134,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     for i, (start, _, _, marked) in enumerate(words):
         if not i or last[i] != last[i - 1]:
             begin = i
-        sign = _ASSIGNED.search(text, max(0, start - 40), start)
-        if not marked and not (_ASSIGNS.match(words[i][2]) or (sign and "\n" not in sign[0] and any(c.isalnum() for c in words[i][2]))):
+        sign = assigned(text, start)
+        if not marked and not (_ASSIGNS.match(words[i][2]) or (sign and "\n" not in text[sign[2] : start] and any(c.isalnum() for c in words[i][2]))):
             continue
-        left = f"{sign[1].strip(_EDGE).lower()} {sign[2]}" if sign else plain(i - 1)
+        left = f"{sign[0].strip(_EDGE).lower()} {sign[1]}" if sign else plain(i - 1)
         stop = last[i] if last[i] - begin < RUN_WORDS else min(last[i], i + LONG_WORDS - 1)
         for j in range(i, stop + 1):
             yield start, words[j][1], " ".join(w[2] for w in words[i : j + 1]), left, plain(j + 1)
@@ -157,12 +175,19 @@ def scores(found: DataFrame, tables: Tables, rounds: int = ROUNDS, confidence: f
     and u counts the rest.  Patterns of at least ``confidence`` whose p is at
     least ``support`` give it to their instances; an instance takes the kind
     of its most confident pattern, ties going to the first kind in order.
-    Seeds keep theirs, with score 1.
+    Seeds keep theirs, with score 1.  Rounds end when nothing changes, or
+    after ``rounds``.
     """
+
+    def mark(df: DataFrame):
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("entity", "kind", F.round("score", 6)).cast("decimal(38,0)"))).first())
+
+
     edges = tables.write(found.select("entity", F.explode("patterns").alias("pattern")).distinct(), "edges")
     seeds = tables.write(found.filter("seed IS NOT NULL").groupBy("entity").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0)), "scores")
     known = seeds
     sizes = tables.write(edges.groupBy("pattern").agg(F.count("*").alias("n")), "sizes")
+    now = mark(seeds)
     for _ in range(rounds):
         of_kind = edges.join(known, "entity").groupBy("pattern", "kind").agg(F.sum("score").alias("p"), F.count("*").alias("m"))
         all_kinds = Window.partitionBy("pattern")
@@ -175,6 +200,9 @@ def scores(found: DataFrame, tables: Tables, rounds: int = ROUNDS, confidence: f
         before, known = known, tables.write(seeds.unionByName(new), "scores")
         if before is not seeds:
             tables.drop(before)
+        last, now = now, mark(known)
+        if now == last:
+            break
     return known.join(seeds.select("entity", F.lit(True).alias("seed")), "entity", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
 
 

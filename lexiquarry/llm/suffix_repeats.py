@@ -94,7 +94,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, seed_words: int = SEED_
 
     One row for each maximal span: doc_id, first_word (from 0), end_word
     (behind the last) and n_words.  A word is what stands between blanks;
-    words are compared exactly.  Overlapping and adjoining runs make one span.
+    words are compared by 64-bit hashes.  Overlapping and adjoining runs make one span.
 
     Repeats within one document alone don't count, and rows with the same
     doc_id are one document; of several texts under an id each has its own

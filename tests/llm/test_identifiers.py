@@ -85,4 +85,11 @@ def test_scores_against_plain_python(spark):
         known = {e: (k, c) for e, (c, k) in best.items() if e not in seeds} | {e: (k, 1.0) for e, k in seeds.items()}
     got = {r.entity: (r.kind, r.score) for r in identifiers.scores(found, Tables(spark, "t")).collect()}
     assert got.keys() == known.keys()
-    assert all(got[e][0] == k and got[e][1] == pytest.approx(c, abs=1e-6) for e, (k, c) in known.items())
+    assert all(got[e][0] == k and got[e][1] == pytest.approx(c, abs=1e-5) for e, (k, c) in known.items())
+
+
+def test_names_of_any_length_are_assigned():
+    name = "the_very_long_name_of_a_setting_that_holds_the_" + "x" * 50 + "_password"
+    for text, want in ((f'{name} = "', (name, "=", 0)), (f"a {name}:  ", (name, ":", 2)), ("a = b ", None), ("= ", None), ("x==", None), ("k:'", ("k", ":", 0)), ("", None)):
+        assert identifiers.assigned(text, len(text)) == want
+    assert [e for _, _, e, left, _ in identifiers.candidates(f"{name} = qwertyuiop") if left == f"{name} ="] == ["qwertyuiop"]
