@@ -109,7 +109,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     ).mapInArrow(measure, PIECES)
 
 
-PARTS = "k int, block bigint, source string, first bigint, n_tokens int, doc_ids array<bigint>, langs array<string>, texts array<string>"
+PARTS = "k int, block bigint, source string, first bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, langs array<string>, texts array<string>"
 
 
 def _parts(placed: DataFrame, block: int, apart: bool) -> DataFrame:
@@ -121,15 +121,15 @@ def _parts(placed: DataFrame, block: int, apart: bool) -> DataFrame:
     schema = arrow_schema(PARTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}  # by source: its name, where its open part begins and ends, doc_ids, langs, texts
+        held: dict[int, tuple] = {}  # by source: its name, where its open part begins and ends, doc_ids, starts, langs, texts
         size = 0
         out: list[tuple] = []
         sent = 0
 
         def close(k: int) -> None:
             nonlocal sent
-            source, first, end, ids, langs, texts = held.pop(k)
-            out.append((k, first // block, source, first, end - first, ids, langs if apart else [], texts if apart else ["".join(texts)]))
+            source, first, end, ids, starts, langs, texts = held.pop(k)
+            out.append((k, first // block, source, first, end - first, ids, starts, langs if apart else [], texts if apart else ["".join(texts)]))
             sent += sum(map(len, texts))
 
         def flush() -> pa.RecordBatch:
@@ -152,11 +152,12 @@ def _parts(placed: DataFrame, block: int, apart: bool) -> DataFrame:
                     piece = data[int(places[at]) : len(data) if last else int(places[at + n])].decode("utf-8")
                     if apart and last:
                         piece = piece.rstrip(_BLANKS) + END
-                    _, first, _, ids, langs, texts = held.get(k) or (source, now, now, [], [], [])
+                    _, first, _, ids, starts, langs, texts = held.get(k) or (source, now, now, [], [], [], [])
                     ids.append(doc_id)
+                    starts.append(now % block)
                     langs.append(lang)
                     texts.append(piece)
-                    held[k] = (source, first, now + n, ids, langs, texts)
+                    held[k] = (source, first, now + n, ids, starts, langs, texts)
                     size += len(piece)
                     at += n
                     if (now + n) % block == 0:
@@ -185,7 +186,7 @@ def target_weights(totals: dict[str | None, int], weights: dict[str | None, floa
 
 
 def _mixed(docs: DataFrame, apart: bool, weights=None, alpha: float = ALPHA, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, n_slots: int | None = None) -> DataFrame:
-    """A row a slot: shard, slot, source, block, epoch, and the block's parts p in order (first, n_tokens, doc_ids, langs, texts)."""
+    """A row a slot: shard, slot, source, block, epoch, and the block's parts p in order (first, n_tokens, doc_ids, starts, langs, texts)."""
     require(docs, ["doc_id", "text", "source"])
     spark = docs.sparkSession
     tables = Tables(spark, "mix")
@@ -248,7 +249,7 @@ def _mixed(docs: DataFrame, apart: bool, weights=None, alpha: float = ALPHA, blo
         table.join(F.broadcast(bases_of), F.col("source").eqNullSafe(F.col("source_b")) & (F.col("part") == F.col("part_b")))  # a row for each source and partition of the input
         .select("k", "source", (F.col("base") + F.col("start")).alias("start"), "doc_id", "lang", "text")
     )
-    whole = _parts(placed, block, apart).groupBy("k", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("first", "n_tokens", "doc_ids", "langs", "texts"))).alias("p"))
+    whole = _parts(placed, block, apart).groupBy("k", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("first", "n_tokens", "doc_ids", "starts", "langs", "texts"))).alias("p"))
     return chosen.hint("shuffle_hash").join(whole, ["k", "block"]).select("shard", "slot", "source", "block", "epoch", "p")
 
 
@@ -262,7 +263,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     A token is a word with the blanks before it (see token_starts), so the
     text of a block is exact.  One row a slot: shard, slot, source, block,
-    epoch, n_tokens, doc_ids and text, the documents in their order.  The
+    epoch, n_tokens, doc_ids, starts and text, the documents in their order
+    and the tokens at which they begin, which is where their texts are to be
+    parted.  The
     last block of a source may be shorter; no token of it is lost.
 
     A null source is a source of its own, weighed under the key None.  A
@@ -279,6 +282,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         "epoch",
         F.expr("cast(aggregate(p, 0L, (n, x) -> n + x.n_tokens) as int)").alias("n_tokens"),
         F.expr("flatten(p.doc_ids)").alias("doc_ids"),
+        F.expr("flatten(p.starts)").alias("starts"),
         F.concat_ws("", F.expr("flatten(p.texts)")).alias("text"),
     )
 

@@ -165,10 +165,10 @@ def test_mixing_brute_force(spark, block, slots, n_slots):
     weights = {"s0": 4.0, "s1": 2.0, None: 1.0}
     want = {}
     for shard, slot, source, number, epoch, mine in brute_mix(rows, weights, block, slots, n_slots, 5):
-        names = [n for k, (n, _) in enumerate(mine) if not k or mine[k - 1][0] != n]
-        want[shard, slot] = (source, number, epoch, len(mine), names, "".join(t for _, t in mine))
+        begins = [k for k, (n, _) in enumerate(mine) if not k or mine[k - 1][0] != n]
+        want[shard, slot] = (source, number, epoch, len(mine), [mine[k][0] for k in begins], begins, "".join(t for _, t in mine))
     got = mixing.mix(docs, weights=weights, block=block, slots=slots, n_slots=n_slots, seed=5)
-    mine = {(r.shard, r.slot): (r.source, r.block, r.epoch, r.n_tokens, [n for k, n in enumerate(r.doc_ids) if not k or r.doc_ids[k - 1] != n], r.text) for r in got.collect()}
+    mine = {(r.shard, r.slot): (r.source, r.block, r.epoch, r.n_tokens, r.doc_ids, r.starts, r.text) for r in got.collect()}
     assert mine == want and len(mine) == n_slots
 
 
