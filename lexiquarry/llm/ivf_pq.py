@@ -36,6 +36,8 @@ RERANK = 32
 CODEWORDS = 256
 ITERATIONS = 5
 BLOCK = 1024
+#: Blocks of a cell that one task files.
+HOT = 64
 
 
 def _first(vectors: DataFrame, n: int, d: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def encode(r: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([nearest(r[:, s], words[m, :, : s.stop - s.start]) for m, s in enumerate(_parts(r.shape[1]))], axis=1).astype(np.uint8)
 
 
-def _filed(vectors: DataFrame, model, d: int, block: int) -> DataFrame:
+def _filed(vectors: DataFrame, model, d: int, block: int, tables: Tables) -> DataFrame:
     """The inverted file in blocks of at most ``block`` vectors of a cell: cell, block, ids, codes, constants."""
     assigned = "cell int, id bigint, v array<float>"
     first = arrow_schema(assigned)
@@ -144,7 +146,11 @@ def _filed(vectors: DataFrame, model, d: int, block: int) -> DataFrame:
         if cell is not None and len(ids):
             yield flush(len(ids))
 
-    return vectors.mapInArrow(assign, assigned).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(file, ddl)
+    placed = tables.write(vectors.mapInArrow(assign, assigned), "assigned")
+    # A cell may hold a third of all vectors: such ones are divided among tasks.
+    large = placed.groupBy("cell").agg(F.ceil(F.count("*") / (HOT * block)).alias("parts")).filter("parts > 1")  # at most a row a cell
+    salted = placed.join(F.broadcast(large), "cell", "left").select("cell", "id", "v", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("salt"))
+    return salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id").select("cell", "id", "v").mapInArrow(file, ddl)
 
 
 def _probed(filed: DataFrame, model, d: int, probes: int, rerank: int, queries) -> DataFrame:
@@ -278,7 +284,7 @@ def search(
     sample = centred if n <= size else tables.write(centred.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(size), "sample")
     centres = coarse(sample, wanted, d)
     model = spark.sparkContext.broadcast((centres, codebooks(sample, centres, d)))  # cells and codewords
-    filed = tables.write(_filed(centred, model, d, block), "filed")
+    filed = tables.write(_filed(centred, model, d, block, tables), "filed")
     if probes is None:
         probes = needed_probes(centred, centres, d, k)
     parts = []

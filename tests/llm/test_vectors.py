@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lexiquarry.llm import ivf_pq, va_file
+from lexiquarry.llm.common import Tables
 
 DDL = "vec_id bigint, embedding array<float>, label int, q bigint, block int"
 
@@ -99,6 +100,18 @@ def test_ivf_pq_recall(spark, kind, n, d):
             assert dist == pytest.approx(np.linalg.norm(x[i].astype(float) - x[j]), abs=1e-5) and i != j
 
 
+def test_a_cell_with_a_third_of_all_vectors(spark):
+    x = vectors(900, 8, "unit", 6)
+    x[::3] = x[0]
+    got = got_of(ivf_pq.search(table(spark, x), every=9, block=4, probes=10**6, fit=100))
+    assert len(got) == 100 and all(dist == 0 for i in got for _, dist in got[i] if i % 3 == 0)
+    filed = {}
+    model = spark.sparkContext.broadcast((x[:5], ivf_pq.codebooks(table(spark, x).selectExpr("vec_id AS id", "embedding AS v"), x[:5], 8)))
+    for r in ivf_pq._filed(table(spark, x).selectExpr("vec_id AS id", "embedding AS v"), model, 8, 4, Tables(spark, "t")).collect():
+        filed.setdefault(r.cell, []).extend(np.frombuffer(r.ids, np.int64).tolist())
+    assert sorted(sum(filed.values(), [])) == list(range(900)) and max(map(len, filed.values())) >= 300
+
+
 @pytest.mark.parametrize("search", [va_file.search, ivf_pq.search])
 def test_small_tables(spark, search):
     x = vectors(3, 4, "unit")
