@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .fields import Field, Fields
 from .functions.text import BLANK, PAGE, TITLE, TOKEN, page_text, page_title
 from .operators import analysis, search, snippets
-from .sources.index import Index, shared_dir
+from .sources.index import Index
+from .sources.shared import shared_dir
 
 #: Word and the term that stands for it in the queries with a dictionary.
 LEXICON = [("the", "article", [1]), ("a", "article", [2]), ("an", "article", [2])]

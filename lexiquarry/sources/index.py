@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -29,6 +28,7 @@ from ..fields import Field, Fields
 from ..functions.text import strmatch
 from ..operators import analysis
 from ..operators.search import Corpus, write_postings
+from .shared import shared_dir
 
 ENTITY = "entity_id string, doc_id bigint, version bigint, number bigint, extra string, bundle string"
 #: Attempts to publish a manifest while others publish theirs.
@@ -40,17 +40,6 @@ class Conflict(RuntimeError):
     """Someone else has written the manifest in the meantime."""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where it is unset and Spark runs in one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 @dataclass
 class Manifest:
     number: int = 0
