@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from lexiquarry.queries import QUERIES
 
-HEADLINE = ["tokenize", "contents_rich", "key_stats", "mini_and", "mini_fuzzy", "bm25", "rich_quote", "rich_and", "rich_fuzzy", "rich_cover", "snippet", "upsert"]
+HEADLINE = ["build_index", "tokenize", "contents_rich", "key_stats", "mini_and", "mini_fuzzy", "bm25", "rich_quote", "rich_and", "rich_fuzzy", "rich_cover", "snippet", "upsert"]
 
 
 def main() -> None:

@@ -173,28 +173,33 @@ def windows(is_break: list[bool], points: list[int], tags: list[tuple[str, int,
     return [tuple(x) for x in out]
 
 
-def render(tokens, first: int, last: int, before: bool, behind: bool, marks: dict[int, int], opening: str, closing: str) -> list[str]:
+#: What a token is, as bits: behind a blank, the first of its block, a number, a mark that breaks.
+SPACED, FIRST, NUMBER, BREAK = 1, 2, 4, 8
+
+
+def render(texts, kinds, first: int, last: int, before: bool, behind: bool, marks: dict[int, int], opening: str, closing: str) -> list[str]:
     """Texts of the tokens from first to last: a block of its own for each number and each text block that begins."""
     out: list[str] = []
-    text = ELLIPSIS if before else ""
+    parts = [ELLIPSIS] if before else []
     for i in range(first, last + 1):
-        token = tokens[i]
-        if token["left_space"]:
-            text += " "
-        elif token["is_first"] and text:
-            out.append(text)
-            text = ""
+        kind, shown = kinds[i], texts[i]
+        if kind & SPACED:
+            parts.append(" ")
+        elif kind & FIRST and parts:
+            out.append("".join(parts))
+            parts = []
         if i in marks:
-            text += opening.replace("%u", str(marks[i]))
-        if token["number"] is not None:
-            if text:
-                out.append(text)
-            out.append(token["text"])
-            text = ""
+            number = str(marks[i])
+            parts.append(opening.replace("%u", number))
+        if kind & NUMBER:
+            if parts:
+                out.append("".join(parts))
+            out.append(shown)
+            parts = []
         else:
-            text += token["text"]
+            parts.append(shown)
         if i in marks:
-            text += closing.replace("%u", str(marks[i]))
+            parts.append(closing.replace("%u", number))
     if behind:
-        text += ELLIPSIS
-    return out + [text] if text else out
+        parts.append(ELLIPSIS)
+    return out + ["".join(parts)] if parts else out

@@ -377,20 +377,30 @@ def _tuples(plan: Plan, leaf_entries, fields: Fields) -> Column:
             return F.filter(parts[0], lambda e: F.exists(spans, lambda m: (m["lower"] <= e["lower"]) & (e["upper"] <= m["upper"])))
         return F.filter(parts[0], lambda e: F.exists(spans, lambda m: (m["lower"] == e["lower"]) & (e["upper"] == m["upper"])))
     order = _by_weight(plan.parts)
+    columns, leaves = [], []
+    for i in order:  # of a word only places and weights are needed
+        leaf = plan.parts[i].leaf
+        columns += [parts[i]] if leaf < 0 else [F.transform(parts[i], lambda e: e["lower"]), F.transform(parts[i], lambda e: e["weight"])]
+        leaves.append(leaf)
+
+    def operands(row) -> list[list[kernels.Entry]]:
+        values = iter(row)
+        return [[_plain(e) for e in next(values)] if k < 0 else [(p, p, w, [(p, k)]) for p, w in zip(next(values).tolist(), next(values).tolist())] for k in leaves]
+
     if plan.kind == "&&":
 
         @F.pandas_udf(ENTRIES)
         def every(*columns: pd.Series) -> pd.Series:
-            return pd.Series([_boxed(kernels.all_of([[_plain(e) for e in x] for x in row])) for row in zip(*columns)])
+            return pd.Series([_boxed(kernels.all_of(operands(row))) for row in zip(*columns)])
 
-        return every(*[parts[i] for i in order])
+        return every(*columns)
     ranges, quorum = [plan.parts[i].range for i in order], plan.range
 
     @F.pandas_udf(ENTRIES)
     def near(*columns: pd.Series) -> pd.Series:
-        return pd.Series([_boxed(kernels.fuzzy([[_plain(e) for e in x] for x in row], ranges, order, quorum)) for row in zip(*columns)])
+        return pd.Series([_boxed(kernels.fuzzy(operands(row), ranges, order, quorum)) for row in zip(*columns)])
 
-    return near(*[parts[i] for i in order])
+    return near(*columns)
 
 
 def _asks_fields(plan: Plan) -> bool:

@@ -24,6 +24,16 @@ def _with_images(found: DataFrame, images: DataFrame, how: str) -> DataFrame:
     return rows.select("doc_id", "tokens", "markup", points.alias("points"))
 
 
+def _shown(rows: DataFrame):
+    """What the tokens of a document look like, as two flat arrays, its tags, and its hits with the numbers of their words."""
+
+    def bit(c, n: int):
+        return F.when(c, n).otherwise(0)
+
+    kinds = F.transform("tokens", lambda t: (bit(t["left_space"], kernels.SPACED) + bit(t["is_first"], kernels.FIRST) + bit(t["number"].isNotNull(), kernels.NUMBER) + bit(t["is_punct"] & t["text"].isin(sorted(kernels.BREAKS)), kernels.BREAK)).cast("int"))
+    return F.transform("tokens", lambda t: t["text"]), kinds, F.col("markup"), F.transform("points", lambda p: p["offset"]), F.transform("points", lambda p: p["term"])
+
+
 def _tags(markup) -> list[tuple[str, int, int]]:
     return [(m["field"], m["lower"], m["upper"]) for m in markup]
 
@@ -47,37 +57,37 @@ def snippet(found: DataFrame, images: DataFrame, fields: Fields | None = None, o
         return f.quote, f.indents
 
     @F.pandas_udf(BLOCKS)
-    def quote(tokens: pd.Series, markup: pd.Series, points: pd.Series) -> pd.Series:
+    def quote(texts: pd.Series, kinds: pd.Series, markup: pd.Series, places: pd.Series, words: pd.Series) -> pd.Series:
         out = []
-        for words, tags, hits in zip(tokens, map(_tags, markup), points):
-            marks = {p["offset"]: p["term"] for p in reversed(list(hits))}
-            breaks = [t["is_punct"] and t["text"] in kernels.BREAKS for t in words]
+        for shown, kind, tags, at, of in zip(texts, kinds, map(_tags, markup), places, words):
+            marks = dict(zip(reversed(at.tolist()), reversed(of.tolist())))
+            breaks = (kind & kernels.BREAK).astype(bool).tolist()
             blocks = []
             for a, b, before, behind, tag in kernels.windows(breaks, list(marks), tags, settings):
-                blocks += [{"tags": _path(tags, tag, a), "text": x} for x in kernels.render(words, a, b, before, behind, marks, opening, closing)]
+                blocks += [{"tags": _path(tags, tag, a), "text": x} for x in kernels.render(shown, kind, a, b, before, behind, marks, opening, closing)]
             out.append(blocks)
         return pd.Series(out)
 
     rows = _with_images(found, images, "left" if all_documents else "inner")
-    return rows.select("doc_id", quote("tokens", "markup", "points").alias("blocks"))
+    return rows.select("doc_id", quote(*_shown(rows)).alias("blocks"))
 
 
 def highlight(found: DataFrame, images: DataFrame, opening: str = OPENING, closing: str = CLOSING, all_documents: bool = False) -> DataFrame:
     """doc_id and the whole text in blocks, with marks around the hits."""
 
     @F.pandas_udf(BLOCKS)
-    def source(tokens: pd.Series, markup: pd.Series, points: pd.Series) -> pd.Series:
+    def source(texts: pd.Series, kinds: pd.Series, markup: pd.Series, places: pd.Series, words: pd.Series) -> pd.Series:
         out = []
-        for words, tags, hits in zip(tokens, map(_tags, markup), points):
-            marks = {p["offset"]: p["term"] for p in reversed(list(hits))}
+        for shown, kind, tags, at, of in zip(texts, kinds, map(_tags, markup), places, words):
+            marks = dict(zip(reversed(at.tolist()), reversed(of.tolist())))
             blocks = []
-            for a, b, tag in kernels.regions(len(words), tags):
-                blocks += [{"tags": _path(tags, tag, a), "text": x} for x in kernels.render(words, a, b, False, False, marks, opening, closing)]
+            for a, b, tag in kernels.regions(len(shown), tags):
+                blocks += [{"tags": _path(tags, tag, a), "text": x} for x in kernels.render(shown, kind, a, b, False, False, marks, opening, closing)]
             out.append(blocks)
         return pd.Series(out)
 
     rows = _with_images(found, images, "left" if all_documents else "inner")
-    return rows.select("doc_id", source("tokens", "markup", "points").alias("blocks"))
+    return rows.select("doc_id", source(*_shown(rows)).alias("blocks"))
 
 
 def highlight_plain(found: DataFrame, images: DataFrame, opening: str = "[", closing: str = "]") -> DataFrame:
