@@ -107,9 +107,12 @@ def _learn(docs: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, bits:
     for i, _ in docs:
         seen[i] += 1  # a text's features are distinct
     seen = seen >= MIN_SEEN
-    docs = [(i[seen[i]], w[seen[i]]) for i, w in docs]
+    for d, (i, w) in enumerate(docs):  # in place: they are held once
+        docs[d] = i[seen[i]], w[seen[i]]
     k = len(CLASSES)
-    vectors = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
+    vectors = np.empty((size, dim), np.float32)
+    for at in range(0, size, 1 << 16):
+        vectors[at : at + (1 << 16)] = rng.normal(0, 0.1, (min(1 << 16, size - at), dim))
     layer = rng.normal(0, 0.5, (dim, k)).astype(np.float32)
     bias = np.zeros(k, np.float32)
     g_vectors, g_layer, g_bias = np.full((size, 1), 1e-8, np.float32), np.full((dim, k), 1e-2, np.float32), np.full(k, 1e-2, np.float32)
@@ -199,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: in
         for batch in batches:
             classes += batch.column(2).to_pylist()
             held += [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for i, w in zip(batch.column(3), batch.column(4))]
+        batch = None
         if len(set(classes)) > 1:
             model = _learn(held, np.array(classes), bits, **options)
             yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary())], schema=learned_schema)
