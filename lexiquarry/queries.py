@@ -297,7 +297,7 @@ QUERIES = {
     "key_block": lambda s, d: _corpus(s, d).postings.filter("term = 'the'").select("doc_id", "tf"),
     "list_keys": lambda s, d: _corpus(s, d).key_stats.filter(search.strmatch(F.col("term"), "th?n*")).orderBy("term"),
     "collection_size": lambda s, d: _corpus(s, d).lengths.agg(F.count("*").alias("documents")),
-    "term_idf": lambda s, d: _corpus(s, d).key_stats.crossJoin(F.broadcast(_corpus(s, d).lengths.agg(F.count("*").alias("n")))).select("term", F.round(search.idf_column(F.col("df"), F.col("n")), 6).alias("idf")),
+    "term_idf": lambda s, d: _corpus(s, d).key_stats.select("term", F.round(search.idf_column(F.col("df"), F.lit(_corpus(s, d).size)), 6).alias("idf")),
     "rank_word": _stat("rank_word", "the of in"),
     "rank_wildcard": _stat("rank_wildcard", "th?n*"),
     "mini_term": _mini("the"),
