@@ -37,6 +37,9 @@ MIN_SEEN = 4
 #: Features without a vector that every average counts besides a text's own, so that one word of a short text doesn't decide.
 PRIOR = (16, 16, 64)
 THRESHOLD = 0.4
+#: Texts, or their features, that a task of the fit takes at once.
+RECORDS = 256
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BLOCK = 1 << 20
 _REPEAT = np.uint64(0x5EED)
 
@@ -208,7 +211,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: in
             yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary())], schema=learned_schema)
 
     rows = sample(docs, labels, per_class).select(F.xxhash64("id").alias("place"), "id", F.col("class").cast("int").alias("class"), "text").mapInArrow(count, found)
-    model = rows.repartition(1).sortWithinPartitions("place", "id").mapInArrow(learn, learned).collect()  # at most a row
+    conf = docs.sparkSession.conf
+    before = conf.get(_RECORDS)
+    conf.set(_RECORDS, str(RECORDS))
+    try:
+        model = rows.repartition(1).sortWithinPartitions("place", "id").mapInArrow(learn, learned).collect()  # at most a row
+    finally:
+        conf.set(_RECORDS, before)
     if not model:
         return None
     return Model(np.frombuffer(bytes(model[0]["scores"]), np.float32).reshape(3 << bits, len(CLASSES)), np.frombuffer(bytes(model[0]["bias"]), np.float32), bits)
