@@ -7,10 +7,11 @@ that it covers, outermost first).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,35 +141,82 @@ def contents_rich(terms: DataFrame) -> DataFrame:
 
 POSTINGS = "term string, doc_id bigint, tf int, positions array<int>, forms array<int>"
 
+#: So many tokens are grouped at a time: what a task's Python holds besides a batch of Arrow's.
+GROUPED = 1 << 19
 
-def plain_postings(docs: DataFrame) -> DataFrame:
-    """contents_rich of texts without fields, numbers and a dictionary: POSTINGS.
+def parts_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows, (first, behind the last), of no more than ``most`` in all; a row that is larger is by itself."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, last
+        first = last
 
-    All tokens of a document are in its row, so they are grouped there, a
-    batch of documents at a time, and nothing is shuffled.
+
+def plain_postings(docs: DataFrame, columns: Sequence[str] = ("term", "doc_id", "tf", "positions", "forms")) -> DataFrame:
+    """contents_rich of texts without fields, numbers and a dictionary: POSTINGS, or some of its columns.
+
+    All tokens of a document are in its row, so they are grouped there, some
+    documents at a time, and nothing is shuffled.  The rows of GROUPED tokens
+    are a run by term and document.
     """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(1)
-            if not batch.num_rows or not len(words.flatten()):
-                continue
-            sizes = np.diff(words.offsets.to_numpy())
-            coded = words.flatten().dictionary_encode()
-            code, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.lexsort((code, doc))  # stable: positions ascend
-            code, doc = code[order], doc[order]
-            starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
-            ends = pa.array(np.append(starts, len(code)).astype(np.int32))
-            forms = pa.array(np.full(len(code), PLAIN_FORM, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array(code[starts])).cast(pa.string()), batch.column(0).take(pa.array(doc[starts])), pa.array(np.diff(np.append(starts, len(code))).astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(pos[order].astype(np.int32))), pa.ListArray.from_arrays(ends, forms)],
-                names=["term", "doc_id", "tf", "positions", "forms"],
-            )
+            ids, words, offsets = batch.column(0), batch.column(1).values, batch.column(1).offsets.to_numpy()
+            for a, b in parts_of(np.diff(offsets), GROUPED):
+                if offsets[a] < offsets[b]:
+                    yield grouped(ids.slice(a, b - a), words.slice(offsets[a], offsets[b] - offsets[a]), np.diff(offsets[a : b + 1]))
+
+    def grouped(ids: pa.Array, words: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        coded = words.dictionary_encode()
+        terms = coded.dictionary.cast(pa.string())
+        terms, rank = terms.take(by_term := pc.sort_indices(terms)), np.empty(len(terms), np.int64)
+        rank[by_term.to_numpy()] = np.arange(len(terms))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        key = rank[coded.indices.to_numpy()] * len(sizes) + doc
+        order = np.argsort(key, kind="stable")  # positions ascend
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = pa.array(np.append(starts, len(key)).astype(np.int32))
+        code, doc = np.divmod(key[starts], len(sizes))
+        made = {
+            "term": lambda: terms.take(pa.array(code)),
+            "doc_id": lambda: ids.take(pa.array(doc)),
+            "tf": lambda: pa.array(np.diff(np.append(starts, len(key))).astype(np.int32)),
+            "positions": lambda: pa.ListArray.from_arrays(ends, pa.array((order - np.repeat(np.cumsum(sizes) - sizes, sizes)[order]).astype(np.int32))),
+            "forms": lambda: pa.ListArray.from_arrays(ends, pa.array(np.full(len(key), PLAIN_FORM, np.int32))),
+        }
+        return pa.RecordBatch.from_arrays([made[c]() for c in columns], names=list(columns))
 
     words = F.transform(token_texts(docs["text"]), lower_term)
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), words.alias("words")).mapInArrow(group, POSTINGS)
+    kinds = dict(x.strip().split(" ") for x in POSTINGS.split(","))
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), words.alias("words")).mapInArrow(group, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def distinct_ids(docs: DataFrame) -> bool:
+    """Whether no two rows have the same doc_id; of the documents only the ids are read."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def lexicon_postings(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """plain_postings with a dictionary, which goes to every task.
+
+    Only the postings of its words and terms are brought together in a
+    shuffle, a row for a word of a document; all others stay where they are.
+    """
+    words = _known(lexicon)
+    bare = lexicon.filter("term IS NOT NULL").select(F.col("term").alias("word")).distinct().join(F.broadcast(words), "word", "left_anti")
+    known = F.broadcast(words.unionByName(bare, allowMissingColumns=True).withColumnsRenamed({"term": "known", "form": "other"}))
+    rows = plain_postings(docs).withColumnRenamed("term", "word")
+    form = F.coalesce("other", F.lit(PLAIN_FORM))
+    met = rows.join(known, "word").select(F.coalesce("known", "word").alias("term"), "doc_id", F.transform("positions", lambda p: F.struct(p.alias("pos"), form.alias("form"))).alias("hits"))
+    met = met.groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    before = F.concat(F.array(F.lit(None).cast("struct<pos: int, form: int>")), F.col("hits"))
+    once = F.filter(F.arrays_zip(F.col("hits").alias("h"), before.alias("b")), lambda x: x["h"].isNotNull() & ~x["h"].eqNullSafe(x["b"]))
+    met = met.select("term", "doc_id", F.transform(once, lambda x: x["h"]).alias("hits")).sortWithinPartitions("term", "doc_id")
+    met = met.select("term", "doc_id", F.size("hits").alias("tf"), F.col("hits.pos").alias("positions"), F.col("hits.form").alias("forms"))
+    return rows.join(known, "word", "left_anti").withColumnRenamed("word", "term").select(*met.columns).unionByName(met)
 
 
 def is_plain(docs: DataFrame, fields: Fields | None = None) -> bool:

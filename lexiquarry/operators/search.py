@@ -52,7 +52,7 @@ class Corpus:
     def stored(self, path: str) -> Corpus:
         """Write what queries read to a folder that all executors share."""
         read = self.postings.sparkSession.read
-        write_postings(self.postings, path)
+        write_postings(self.postings, path, analysis.is_plain(self.docs, self.fields))
         self.lengths.write.parquet(f"{path}/lengths")
         return Corpus(read.parquet(f"{path}/postings"), self.docs, read.parquet(f"{path}/lengths"), self.fields, self.lexicon)
 
@@ -85,16 +85,13 @@ class Corpus:
         return {w: found or [(w.lower(), [])] for w, found in out.items()}
 
 
-def write_postings(postings: DataFrame, at: str) -> None:
-    """Postings by term and document, so that a query's words reach few row groups and the most frequent are in many files.
+def write_postings(postings: DataFrame, at: str, in_runs: bool = False) -> None:
+    """Postings by term and document within every file, or in long runs that are in this order; each is written once, without a shuffle.
 
-    They are written twice: the range partitioning reads its input twice, which then is no analysis.
+    So a query's words reach few pages of every file, by the least and the
+    greatest term of a page, and the most frequent ones are in many files.
     """
-    spark = postings.sparkSession
-    postings.write.parquet(f"{at}/unsorted")
-    spark.read.parquet(f"{at}/unsorted").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/unsorted")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    (postings if in_runs else postings.sortWithinPartitions("term", "doc_id")).write.parquet(f"{at}/postings")
 
 
 @dataclass

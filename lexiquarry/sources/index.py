@@ -185,7 +185,7 @@ class Index:
         source.select("doc_id", *body).write.parquet(f"{at}/bodies")
         bodies = self.spark.read.parquet(f"{at}/bodies")
         analysis.lengths(bodies, known).write.parquet(f"{at}/lengths")
-        write_postings(analysis.postings(bodies, known), at)
+        write_postings(analysis.postings(bodies, known), at, analysis.is_plain(bodies, known))
         segment = self._bulletin(at, number)
         self._drop(f"{at}/source")
 

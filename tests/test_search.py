@@ -318,3 +318,18 @@ def test_every_snippet(spark):
         for piece in shown.split(" / "):
             for part in piece.strip("… ").split("…"):
                 assert part.strip() in plain
+
+
+def test_runs_of_postings(spark, tmp_path, monkeypatch):
+    """Texts are grouped some at a time and written once, in runs by term and document, without an exchange."""
+    docs = spark.createDataFrame([(k, f"b a x{k} a") for k in range(9)], "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(analysis, "GROUPED", 10)
+    made = [(r.term, r.doc_id, r.tf, r.positions) for r in analysis.plain_postings(docs).collect()]
+    assert len(made) == 27 and [r[:2] for r in made[:6]] == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("x0", 0), ("x1", 1)]
+    assert made[0] == ("a", 0, 2, [1, 3])
+    assert list(analysis.parts_of(analysis.np.array([3, 3, 50, 0, 3, 9]), 10)) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+    plan = analysis.plain_postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    at = f"file://{tmp_path}/postings"
+    search.Corpus.of(docs).stored(at)
+    assert spark.read.parquet(f"{at}/postings").count() == 27
