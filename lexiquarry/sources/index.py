@@ -266,7 +266,11 @@ class Index:
         source = self._numbered(ordered, at)
         source.select("entity_id", "doc_id", "version", "number", "extra", "bundle").write.parquet(f"{at}/entities")
         moved = source.select(F.col("old").alias("doc_id"), F.col("doc_id").alias("new"))
+        plain = analysis.is_plain(self._tables("bodies", run), self.fields())
         for name in ("bodies", "lengths", "postings"):
+            if name == "postings" and plain:  # texts are moved but once, and smaller than their postings
+                write_postings(analysis.postings(self.spark.read.parquet(f"{at}/bodies"), self.fields()), at, True)
+                continue
             table = self._tables(name, run)
             table = table.join(moved, "doc_id").withColumn("doc_id", F.col("new")).select(*table.columns)
             write_postings(table, at) if name == "postings" else table.write.parquet(f"{at}/{name}")

@@ -135,3 +135,16 @@ def test_compaction_after_many_batches(spark):
         index.upsert(rows(spark, (f"e{k}", f"t{k}")), ("stream", k))
     assert index.compact(2) >= 1 and len(index.manifest().segments) <= 2
     assert len(live(index)) == 6 and index.manifest().batches == {"stream": 5}
+
+
+def test_a_merge_of_texts_moves_no_postings(spark, monkeypatch):
+    index = Index.temporary(spark)
+    rows = spark.createDataFrame([("x", "a b"), ("y", "b c"), ("z", "c c d")], "entity_id string, text string")
+    index.upsert(rows)
+    index.upsert(rows.filter("entity_id = 'x'").withColumn("text", F.lit("d e")))
+    index.delete(rows.filter("entity_id = 'y'"))
+    want, read, tables = sorted(index.key_stats().collect()), [], Index._tables
+    monkeypatch.setattr(Index, "_tables", lambda self, name, segments: read.append(name) or tables(self, name, segments))
+    index.merge()
+    assert "postings" not in read and "bodies" in read
+    assert sorted(index.key_stats().collect()) == want == [("c", 1), ("d", 2), ("e", 1)]
