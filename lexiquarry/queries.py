@@ -56,6 +56,12 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.terms(analysis.tokenize(_images(spark, sf)))
 
 
+def _grouped(spark: SparkSession, sf: str, by_shuffle, *columns: str) -> DataFrame:
+    """Contents of the documents, grouped in their rows; where rows have a doc_id in common, in a shuffle."""
+    docs = _docs(spark, sf)
+    return analysis.plain_postings(docs, columns) if analysis.distinct_ids(docs) else by_shuffle(_terms(spark, sf))
+
+
 def _dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "word string, term string, forms array<int>")
 
@@ -289,10 +295,10 @@ QUERIES = {
     "markup_map": lambda s, d: _talk(s, d).images.select("doc_id", F.explode("markup").alias("m")).select("doc_id", "m.field_id", "m.lower", "m.upper"),
     "field_at_pos": lambda s, d: analysis.field_at(_talk(s, d).images, _talk(s, d).fields),
     "doc_length": lambda s, d: analysis.lengths(_docs(s, d)).select("doc_id", "n_words"),
-    "contents_mini": lambda s, d: analysis.contents_mini(_terms(s, d)),
-    "contents_bm25": lambda s, d: analysis.contents_bm25(_terms(s, d)),
+    "contents_mini": lambda s, d: _grouped(s, d, analysis.contents_mini, "doc_id", "term"),
+    "contents_bm25": lambda s, d: _grouped(s, d, analysis.contents_bm25, "doc_id", "term", "tf").withColumn("tf", F.col("tf").cast("bigint")),
     "build_index": lambda s, d: _built(s, d).bulletin().select("documents", "keys", "links"),
-    "contents_rich": lambda s, d: analysis.postings(_docs(s, d)).select("doc_id", "term", "tf", F.array_join("positions", " ").alias("positions")),
+    "contents_rich": lambda s, d: analysis.plain_postings(_docs(s, d), ("doc_id", "term", "tf", "positions")).withColumn("positions", F.array_join("positions", " ")),
     "key_stats": lambda s, d: _corpus(s, d).key_stats,
     "key_block": lambda s, d: _corpus(s, d).postings.filter("term = 'the'").select("doc_id", "tf"),
     "list_keys": lambda s, d: _corpus(s, d).key_stats.filter(search.strmatch(F.col("term"), "th?n*")).orderBy("term"),

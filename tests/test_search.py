@@ -333,3 +333,15 @@ def test_runs_of_postings(spark, tmp_path, monkeypatch):
     at = f"file://{tmp_path}/postings"
     search.Corpus.of(docs).stored(at)
     assert spark.read.parquet(f"{at}/postings").count() == 27
+
+
+def test_contents_are_grouped_in_rows(spark, monkeypatch):
+    """Nothing is shuffled, but for rows that have a doc_id in common."""
+    docs = spark.createDataFrame([(1, "b a a"), (2, "a")], "doc_id bigint, text string")
+    again = docs.unionByName(spark.createDataFrame([(1, "a c"), (None, "c"), (None, "c")], docs.schema))
+    for some, want in ((docs, [(1, "a", 2), (1, "b", 1), (2, "a", 1)]), (again, [(None, "c", 2), (1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "a", 1)])):
+        monkeypatch.setattr(queries, "_docs", lambda s, d, some=some: some)
+        got = queries.QUERIES["contents_bm25"](spark, "")
+        assert sorted((tuple(r) for r in got.select("doc_id", "term", "tf").collect()), key=repr) == sorted(want, key=repr)
+        assert sorted((tuple(r) for r in queries.QUERIES["contents_mini"](spark, "").select("doc_id", "term").collect()), key=repr) == sorted((w[:2] for w in want), key=repr)
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (some is again)
