@@ -100,6 +100,10 @@ def indexed(images: DataFrame, fields: Fields | None = None) -> DataFrame:
     return rows.filter(~F.col("field").isin(off)).select("doc_id", "pos", "token.*")
 
 
+def _known(lexicon: DataFrame) -> DataFrame:
+    return lexicon.select(F.lower("word").alias("word"), "term", F.coalesce(F.try_element_at("forms", F.lit(1)), F.lit(PLAIN_FORM)).cast("int").alias("form"))
+
+
 def terms(tokens: DataFrame, lexicon: DataFrame | None = None, guesses: DataFrame | None = None) -> DataFrame:
     """Terms of the tokens: doc_id, pos, term, form.
 
@@ -110,15 +114,12 @@ def terms(tokens: DataFrame, lexicon: DataFrame | None = None, guesses: DataFram
     rows = tokens.select("doc_id", "pos", lower_term(F.col("text")).alias("word"))
     plain = F.lit(PLAIN_FORM)
 
-    def known(words: DataFrame) -> DataFrame:
-        return words.select(F.lower("word").alias("word"), "term", F.coalesce(F.try_element_at("forms", F.lit(1)), plain).cast("int").alias("form"))
-
     if lexicon is None:
         return rows.select("doc_id", "pos", F.col("word").alias("term"), plain.alias("form"))
-    joined = rows.join(known(lexicon), "word", "left")
+    joined = rows.join(F.broadcast(_known(lexicon)), "word", "left")  # the size of a dictionary, not of the documents
     out = joined.select("doc_id", "pos", F.coalesce("term", "word").alias("term"), F.coalesce("form", plain).alias("form"))
     if guesses is not None:
-        out = out.unionByName(joined.filter("term IS NULL").select("doc_id", "pos", "word").join(known(guesses), "word").select("doc_id", "pos", "term", "form"))
+        out = out.unionByName(joined.filter("term IS NULL").select("doc_id", "pos", "word").join(_known(guesses), "word").select("doc_id", "pos", "term", "form"))
     return out
 
 
@@ -226,8 +227,8 @@ def is_plain(docs: DataFrame, fields: Fields | None = None) -> bool:
 
 def postings(docs: DataFrame, fields: Fields | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """Where each document has each term, of what is indexed: POSTINGS."""
-    if lexicon is None and is_plain(docs, fields):
-        return plain_postings(docs)
+    if is_plain(docs, fields):
+        return plain_postings(docs) if lexicon is None else lexicon_postings(docs, lexicon)
     return contents_rich(terms(indexed(images(docs, fields), fields), lexicon))
 
 

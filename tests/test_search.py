@@ -345,3 +345,13 @@ def test_contents_are_grouped_in_rows(spark, monkeypatch):
         assert sorted((tuple(r) for r in got.select("doc_id", "term", "tf").collect()), key=repr) == sorted(want, key=repr)
         assert sorted((tuple(r) for r in queries.QUERIES["contents_mini"](spark, "").select("doc_id", "term").collect()), key=repr) == sorted((w[:2] for w in want), key=repr)
         assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (some is again)
+
+
+def test_postings_with_a_dictionary_shuffle_its_words_alone(spark):
+    docs = spark.createDataFrame([(1, "The cat, a cat; THE article an"), (2, "mouse"), (3, None)], "doc_id bigint, text string")
+    lexicon = spark.createDataFrame([("the", "article", [1]), ("a", "article", [2]), ("an", "article", [2]), ("an", "article", [2]), ("cat", "cat", [7]), ("cat", "animal", None)], "word string, term string, forms array<int>")
+    rows = lambda df: sorted((r.term, r.doc_id, r.tf, r.positions, r.forms) for r in df.collect())
+    got = rows(analysis.postings(docs, lexicon=lexicon))
+    assert got == rows(analysis.contents_rich(analysis.terms(analysis.tokenize(analysis.images(docs)), lexicon)))
+    assert ("article", 1, 5, [0, 3, 6, 7, 8], [1, 2, 1, 255, 2]) in got and ("mouse", 2, 1, [0], [255]) in got
+    assert "SortMergeJoin" not in analysis.postings(docs, lexicon=lexicon)._jdf.queryExecution().executedPlan().toString()
