@@ -9,10 +9,13 @@ document leave the JVM, and only for documents that match.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -320,33 +323,67 @@ def _or(parts: list[Column]) -> Column:
 
 
 def _in_order(parts: list[Column]) -> Column:
-    """Bases b such that operand k has an entry at b + k."""
+    """Bases b such that operand k has an entry at b + k: neighbours with one base, once all entries are sorted by base and operand."""
 
     def moved(p: Column, k: int) -> Column:
-        return F.transform(p, lambda e: e["lower"] - k)
+        return F.transform(p, lambda e: F.struct((e["lower"] - k).alias("base"), F.lit(k).alias("k"), e["weight"].alias("weight"), F.slice(e["points"], 1, 1).alias("points")))
 
-    bases = moved(parts[0], 0)
-    for k, p in enumerate(parts[1:], 1):
-        bases = F.array_intersect(bases, moved(p, k))
-    maps = [F.map_from_entries(F.transform(p, lambda e: F.struct(e["lower"].alias("key"), e.alias("value")))) for p in parts]
+    every = F.array_sort(F.concat(*[moved(p, k) for k, p in enumerate(parts)]))
+    names = [f"e{k}" for k in range(len(parts))]
+    rows = F.arrays_zip(*[F.slice(every, k + 1, F.size(every)).alias(name) for k, name in enumerate(names)])
 
-    def made(b: Column) -> Column:
-        found = [F.element_at(m, b + k) for k, m in enumerate(maps)]
+    def made(x: Column) -> Column:
         rest = F.lit(1.0)
-        for f in found:
-            rest = rest * (1 - f["weight"])
-        points = F.concat(*[F.slice(f["points"], 1, 1) for f in found])
-        return F.struct(b.alias("lower"), (b + len(parts) - 1).alias("upper"), (1 - rest).alias("weight"), points.alias("points"))
+        for name in names:
+            rest = rest * (1 - x[name]["weight"])
+        base = x[names[0]]["base"]
+        return F.struct(base.alias("lower"), (base + len(parts) - 1).alias("upper"), (1 - rest).alias("weight"), F.concat(*[x[name]["points"] for name in names]).alias("points"))
 
-    return F.transform(F.array_sort(bases), made)
+    return F.transform(F.filter(rows, lambda x: x[names[0]]["base"] == x[names[-1]]["base"]), made)
 
 
-def _plain(e) -> kernels.Entry:
-    return e["lower"], e["upper"], e["weight"], [(p["offset"], p["term"]) for p in e["points"]]
+def _listed(sizes: array, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(sizes))]).astype(np.int32)), values)
 
 
-def _boxed(entries: list[kernels.Entry]) -> list[dict]:
-    return [{"lower": a, "upper": b, "weight": w, "points": [{"offset": o, "term": t} for o, t in ps]} for a, b, w, ps in entries]
+def _flat(rows: Iterable[list[kernels.Entry]]) -> pa.Array:
+    """Entries of documents, ENTRIES: in flat arrays of numbers."""
+    sizes, lower, upper, many, offset, term = (array("i") for _ in range(6))
+    weight = array("d")
+    for entries in rows:
+        sizes.append(len(entries))
+        for a, b, w, points in entries:
+            lower.append(a)
+            upper.append(b)
+            weight.append(w)
+            many.append(len(points))
+            for o, t in points:
+                offset.append(o)
+                term.append(t)
+    of = lambda x: pa.array(np.array(x))
+    points = _listed(many, pa.StructArray.from_arrays([of(offset), of(term)], ["offset", "term"]))
+    return _listed(sizes, pa.StructArray.from_arrays([of(lower), of(upper), of(weight), points], ["lower", "upper", "weight", "points"]))
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _of_word(places: pa.ListArray, weights: pa.ListArray, k: int) -> Iterator[list[kernels.Entry]]:
+    """A word's entries, document by document."""
+    ends, at, weight = _numbers(places.offsets), _numbers(places.values), _numbers(weights.values)
+    for a, b in zip(ends, ends[1:]):
+        yield [(p, p, w, [(p, k)]) for p, w in zip(at[a:b].tolist(), weight[a:b].tolist())]
+
+
+def _of_node(entries: pa.ListArray) -> Iterator[list[kernels.Entry]]:
+    """A node's entries, document by document."""
+    lower, upper, weight, points = entries.values.flatten()
+    ends, starts, (offset, term) = _numbers(entries.offsets), _numbers(points.offsets), map(_numbers, points.values.flatten())
+    lower, upper, weight = map(_numbers, (lower, upper, weight))
+    for a, b in zip(ends, ends[1:]):
+        points = [list(zip(offset[x:y].tolist(), term[x:y].tolist())) for x, y in zip(starts[a:b], starts[a + 1 : b + 1])]
+        yield list(zip(lower[a:b].tolist(), upper[a:b].tolist(), weight[a:b].tolist(), points))
 
 
 def _by_weight(parts: list[Plan]) -> list[int]:
@@ -380,22 +417,22 @@ def _tuples(plan: Plan, leaf_entries, fields: Fields) -> Column:
         columns += [parts[i]] if leaf < 0 else [F.transform(parts[i], lambda e: e["lower"]), F.transform(parts[i], lambda e: e["weight"])]
         leaves.append(leaf)
 
-    def operands(row) -> list[list[kernels.Entry]]:
-        values = iter(row)
-        return [[_plain(e) for e in next(values)] if k < 0 else [(p, p, w, [(p, k)]) for p, w in zip(next(values).tolist(), next(values).tolist())] for k in leaves]
+    def documents(columns: tuple[pa.Array, ...]) -> Iterator[tuple[list[kernels.Entry], ...]]:
+        values = iter(columns)
+        return zip(*[_of_node(next(values)) if k < 0 else _of_word(next(values), next(values), k) for k in leaves])
 
     if plan.kind == "&&":
 
-        @F.pandas_udf(ENTRIES)
-        def every(*columns: pd.Series) -> pd.Series:
-            return pd.Series([_boxed(kernels.all_of(operands(row))) for row in zip(*columns)])
+        @F.arrow_udf(ENTRIES)
+        def every(*columns: pa.Array) -> pa.Array:
+            return _flat(kernels.all_of(list(x)) for x in documents(columns))
 
         return every(*columns)
     ranges, quorum = [plan.parts[i].range for i in order], plan.range
 
-    @F.pandas_udf(ENTRIES)
-    def near(*columns: pd.Series) -> pd.Series:
-        return pd.Series([_boxed(kernels.fuzzy(operands(row), ranges, order, quorum)) for row in zip(*columns)])
+    @F.arrow_udf(ENTRIES)
+    def near(*columns: pa.Array) -> pa.Array:
+        return _flat(kernels.fuzzy(list(x), ranges, order, quorum) for x in documents(columns))
 
     return near(*columns)
 

@@ -355,3 +355,23 @@ def test_postings_with_a_dictionary_shuffle_its_words_alone(spark):
     assert got == rows(analysis.contents_rich(analysis.terms(analysis.tokenize(analysis.images(docs)), lexicon)))
     assert ("article", 1, 5, [0, 3, 6, 7, 8], [1, 2, 1, 255, 2]) in got and ("mouse", 2, 1, [0], [255]) in got
     assert "SortMergeJoin" not in analysis.postings(docs, lexicon=lexicon)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_of_long_texts(spark):
+    """An operand's entries are sorted once, not looked up in a map for each base."""
+    docs = spark.createDataFrame([(1, "of the in of of the " * 3000)], "doc_id bigint, text string")
+    c = search.Corpus.of(docs)
+    got = search.tuples(search.rich(c, "\"of the in\"", search.Stats(9, {"of": 0.5, "the": 0.5, "in": 0.5})))
+    assert "map_from_entries" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(got.collect(), key=lambda r: r.lower)
+    assert [(r.lower, r.upper, round(r.weight, 3)) for r in rows] == [(6 * k, 6 * k + 2, 0.875) for k in range(3000)]
+    assert [p.offset for p in rows[1].points] == [6, 7, 8]
+
+
+def test_tuples_are_made_without_pandas(spark):
+    """Entries go through flat arrays, of words and of nodes within."""
+    docs = spark.createDataFrame([(1, "a b a c b"), (2, "a"), (3, "c b x a")], "doc_id bigint, text string")
+    found = search.rich(search.Corpus.of(docs), "('a b' | c) & b", search.Stats(9, {"a": 0.5, "b": 0.5, "c": 0.5}))
+    assert "pandas" not in " ".join(map(str, search._tuples.__code__.co_names))
+    got = {r.doc_id: [(e.lower, e.upper, e.weight, [tuple(p) for p in e.points]) for e in r.entries] for r in found.collect()}
+    assert got == {1: [(0, 1, 0.875, [(0, 0), (1, 1), (1, 3)]), (1, 3, 0.75, [(3, 2), (1, 3)]), (3, 4, 0.75, [(3, 2), (4, 3)])], 3: [(0, 1, 0.75, [(0, 2), (1, 3)])]}
