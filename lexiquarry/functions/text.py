@@ -25,6 +25,11 @@ def token_texts(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def spaced_texts(text: Column) -> Column:
+    """The tokens of a text with the blanks before them."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(_SPACED), F.lit(0)), F.array().cast("array<string>"))
+
+
 def lower_term(text: Column) -> Column:
     """The term of a word without a dictionary."""
     return F.lower(text)
@@ -51,7 +56,7 @@ def block_tokens(blocks: Column, tags: Column | None = None, unbroken: Iterable[
 
     def of_block(block: Column, number: Column) -> Column:
         text = block["text"]
-        whole = F.coalesce(F.regexp_extract_all(text, F.lit(_SPACED), F.lit(0)), F.array().cast("array<string>"))
+        whole = spaced_texts(text)
         broken = F.transform(
             F.arrays_zip(token_texts(text).alias("t"), whole.alias("w")),
             lambda x, i: F.struct(

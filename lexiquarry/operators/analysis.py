@@ -21,8 +21,8 @@ from ..functions.text import BLOCKS_TYPE, TAGS_TYPE, block_tokens, crossing, inn
 PLAIN_FORM = 255
 
 
-def blocked(docs: DataFrame) -> DataFrame:
-    """doc_id, blocks, tags: a plain text is one block without tags; nulls have no blocks. Tags that cross are an error."""
+def blocked(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, blocks, tags, and columns that are carried along: a plain text is one block without tags; nulls have no blocks. Tags that cross are an error."""
     none = F.array().cast(BLOCKS_TYPE)
     one = F.lit(None).cast(BLOCKS_TYPE)
     if "text" in docs.columns:
@@ -32,7 +32,7 @@ def blocked(docs: DataFrame) -> DataFrame:
     if "blocks" in docs.columns and "tags" in docs.columns:
         tags = F.coalesce(docs["tags"].cast(TAGS_TYPE), tags)
         tags = F.when(crossing(tags), F.raise_error(F.lit("tags overlap: one must lie within the other"))).otherwise(tags)
-    return docs.select("doc_id", blocks.alias("blocks"), tags.alias("tags"))
+    return docs.select("doc_id", blocks.alias("blocks"), tags.alias("tags"), *carried)
 
 
 def discover_fields(docs: DataFrame, fields: Fields | None = None) -> Fields:
@@ -66,13 +66,13 @@ def map_markup(tokens: Column, tags: Column, fields: Fields) -> Column:
     return F.array_distinct(F.filter(F.transform(tags, span), lambda s: s["upper"] >= s["lower"]))
 
 
-def images(docs: DataFrame, fields: Fields | None = None) -> DataFrame:
-    """doc_id, tokens, n_words, markup; and tags, which say where fields begin and end in blocks."""
+def images(docs: DataFrame, fields: Fields | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, tokens, n_words, markup; tags, which say where fields begin and end in blocks; and columns that are carried along."""
     fields = fields or Fields()
-    b = blocked(docs)
+    b = blocked(docs, carried)
     whole = [f.name for f in fields if not f.break_words]
     b = b.withColumn("tokens", block_tokens(F.col("blocks"), F.col("tags"), whole))
-    return b.select("doc_id", "tokens", F.size("tokens").alias("n_words"), map_markup(F.col("tokens"), F.col("tags"), fields).alias("markup"), "tags")
+    return b.select("doc_id", "tokens", F.size("tokens").alias("n_words"), map_markup(F.col("tokens"), F.col("tags"), fields).alias("markup"), "tags", *carried)
 
 
 def tokenize(images: DataFrame) -> DataFrame:
@@ -141,10 +141,10 @@ def contents_rich(terms: DataFrame) -> DataFrame:
 
 
 POSTINGS = "term string, doc_id bigint, tf int, positions array<int>, forms array<int>"
-
 #: So many tokens are grouped at a time: what a task's Python holds besides a batch of Arrow's.
 GROUPED = 1 << 19
 
+
 def parts_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Neighbouring rows, (first, behind the last), of no more than ``most`` in all; a row that is larger is by itself."""
     ends, first = np.cumsum(sizes), 0

@@ -275,14 +275,14 @@ def _numbers(spark: SparkSession, sf: str) -> DataFrame:
 def _snippet(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _corpus(spark, sf)
     found = search.rich(corpus, "the & of")
-    rows = snippets.snippet(found, corpus.images_of(found), opening="[", closing="]")
+    rows = snippets.snippet(found, corpus, opening="[", closing="]")
     return rows.select("doc_id", F.array_join(F.transform("blocks", lambda b: b["text"]), " / ").alias("snippet"))
 
 
 def _highlight(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _corpus(spark, sf)
     found = search.rich(corpus, "the")
-    return snippets.highlight_plain(found, corpus.images_of(found))
+    return snippets.highlight_plain(found, corpus)
 
 
 QUERIES = {

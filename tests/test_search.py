@@ -335,18 +335,6 @@ def test_runs_of_postings(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{at}/postings").count() == 27
 
 
-def test_contents_are_grouped_in_rows(spark, monkeypatch):
-    """Nothing is shuffled, but for rows that have a doc_id in common."""
-    docs = spark.createDataFrame([(1, "b a a"), (2, "a")], "doc_id bigint, text string")
-    again = docs.unionByName(spark.createDataFrame([(1, "a c"), (None, "c"), (None, "c")], docs.schema))
-    for some, want in ((docs, [(1, "a", 2), (1, "b", 1), (2, "a", 1)]), (again, [(None, "c", 2), (1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "a", 1)])):
-        monkeypatch.setattr(queries, "_docs", lambda s, d, some=some: some)
-        got = queries.QUERIES["contents_bm25"](spark, "")
-        assert sorted((tuple(r) for r in got.select("doc_id", "term", "tf").collect()), key=repr) == sorted(want, key=repr)
-        assert sorted((tuple(r) for r in queries.QUERIES["contents_mini"](spark, "").select("doc_id", "term").collect()), key=repr) == sorted((w[:2] for w in want), key=repr)
-        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (some is again)
-
-
 def test_postings_with_a_dictionary_shuffle_its_words_alone(spark):
     docs = spark.createDataFrame([(1, "The cat, a cat; THE article an"), (2, "mouse"), (3, None)], "doc_id bigint, text string")
     lexicon = spark.createDataFrame([("the", "article", [1]), ("a", "article", [2]), ("an", "article", [2]), ("an", "article", [2]), ("cat", "cat", [7]), ("cat", "animal", None)], "word string, term string, forms array<int>")
@@ -357,6 +345,20 @@ def test_postings_with_a_dictionary_shuffle_its_words_alone(spark):
     assert "SortMergeJoin" not in analysis.postings(docs, lexicon=lexicon)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_highlight_of_a_corpus(spark):
+    """The texts meet the hits before they are divided; a long text with many hits takes no longer than one with few."""
+    docs = spark.createDataFrame([(1, " Tom, (the)  cat "), (2, "no"), (3, "the x " * 20_000)], "doc_id bigint, text string")
+    c = search.Corpus.of(docs)
+    found = search.rich(c, "the")
+    got = {r.doc_id: r.text for r in snippets.highlight_plain(found, c).collect()}
+    assert got == {1: " Tom, ([the]) cat", 3: " ".join(["[the] x"] * 20_000)}
+    assert got == {r.doc_id: r.text for r in snippets.highlight_plain(found.filter("doc_id > 0"), c.images).collect()}
+    plan = snippets.highlight_plain(found, c)._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains(transform(points" not in plan and "left_space" not in plan
+    by_corpus = snippets.snippet(found, c, opening="[", closing="]").collect()
+    assert sorted(by_corpus) == sorted(snippets.snippet(found, c.images, opening="[", closing="]").collect())
+
+
 def test_phrases_of_long_texts(spark):
     """An operand's entries are sorted once, not looked up in a map for each base."""
     docs = spark.createDataFrame([(1, "of the in of of the " * 3000)], "doc_id bigint, text string")
@@ -368,6 +370,18 @@ def test_phrases_of_long_texts(spark):
     assert [p.offset for p in rows[1].points] == [6, 7, 8]
 
 
+def test_contents_are_grouped_in_rows(spark, monkeypatch):
+    """Nothing is shuffled, but for rows that have a doc_id in common."""
+    docs = spark.createDataFrame([(1, "b a a"), (2, "a")], "doc_id bigint, text string")
+    again = docs.unionByName(spark.createDataFrame([(1, "a c"), (None, "c"), (None, "c")], docs.schema))
+    for some, want in ((docs, [(1, "a", 2), (1, "b", 1), (2, "a", 1)]), (again, [(None, "c", 2), (1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "a", 1)])):
+        monkeypatch.setattr(queries, "_docs", lambda s, d, some=some: some)
+        got = queries.QUERIES["contents_bm25"](spark, "")
+        assert sorted((tuple(r) for r in got.select("doc_id", "term", "tf").collect()), key=repr) == sorted(want, key=repr)
+        assert sorted((tuple(r) for r in queries.QUERIES["contents_mini"](spark, "").select("doc_id", "term").collect()), key=repr) == sorted((w[:2] for w in want), key=repr)
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (some is again)
+
+
 def test_tuples_are_made_without_pandas(spark):
     """Entries go through flat arrays, of words and of nodes within."""
     docs = spark.createDataFrame([(1, "a b a c b"), (2, "a"), (3, "c b x a")], "doc_id bigint, text string")
