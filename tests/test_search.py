@@ -3,7 +3,9 @@
 import itertools
 import math
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -389,3 +391,28 @@ def test_tuples_are_made_without_pandas(spark):
     assert "pandas" not in " ".join(map(str, search._tuples.__code__.co_names))
     got = {r.doc_id: [(e.lower, e.upper, e.weight, [tuple(p) for p in e.points]) for e in r.entries] for r in found.collect()}
     assert got == {1: [(0, 1, 0.875, [(0, 0), (1, 1), (1, 3)]), (1, 3, 0.75, [(3, 2), (1, 3)]), (3, 4, 0.75, [(3, 2), (4, 3)])], 3: [(0, 1, 0.75, [(0, 2), (1, 3)])]}
+
+
+def test_grouping_holds_no_more_for_a_larger_batch(spark, monkeypatch):
+    """What a task's Python holds besides its batch, Arrow's memory and numpy's, follows GROUPED and not the batch."""
+    docs, made = spark.createDataFrame([], "doc_id bigint, text string"), []
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, group, schema: made.append(group) or self)
+        analysis.plain_postings(docs)
+    monkeypatch.setattr(analysis, "GROUPED", 1 << 14, raising=False)
+
+    def held(n):
+        words = pa.array([[f"w{(d * 31 + k) % 3000}" for k in range(128)] for d in range(n)])
+        batch, default = pa.record_batch([pa.array(range(n), pa.int64()), words], ["doc_id", "words"]), pa.default_memory_pool()
+        own = pa.proxy_memory_pool(default)
+        pa.set_memory_pool(own)
+        tracemalloc.start()
+        try:
+            assert sum(len(out.column(3).flatten()) for out in made[0](iter([batch]))) == 128 * n
+            return tracemalloc.get_traced_memory()[1] + own.max_memory()
+        finally:
+            tracemalloc.stop()
+            pa.set_memory_pool(default)
+
+    held(512)
+    assert held(4096) < 1.3 * held(512)
