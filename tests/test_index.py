@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lexiquarry.operators import search
+from lexiquarry.operators import analysis, search
 from lexiquarry.sources.index import Conflict, Index, merge_run
 from lexiquarry.streaming.ingest import ingest
 
@@ -148,3 +148,20 @@ def test_a_merge_of_texts_moves_no_postings(spark, monkeypatch):
     index.merge()
     assert "postings" not in read and "bodies" in read
     assert sorted(index.key_stats().collect()) == want == [("c", 1), ("d", 2), ("e", 1)]
+
+
+def test_an_entity_of_an_index_made_in_runs(spark, monkeypatch):
+    """The texts of every addition are grouped GROUPED tokens at a time, and an entity is found without Python."""
+    monkeypatch.setattr(analysis, "GROUPED", 6)
+    rows = spark.createDataFrame([(f"e{k}", f"b a x{k}", "old") for k in range(6)], "entity_id string, text string, extra string").coalesce(1)
+    index = Index.temporary(spark)
+    index.upsert(rows)
+    index.upsert(rows.filter("entity_id < 'e4'").withColumn("extra", F.lit("new")))
+    index.set_extras(spark.createDataFrame([("e5", "patched")], "entity_id string, extra string"))
+    for segment, n in zip(index.manifest().segments, (6, 4), strict=True):
+        terms = [r.term for r in spark.read.parquet(f"{segment['path']}/postings").coalesce(1).collect()]
+        assert len(terms) == 3 * n and sum(a > b for a, b in zip(terms, terms[1:])) == n // 2 - 1  # two documents a run
+    found = {e: index.get_entity(e) for e in ("e0", "e4", "e5", "e9")}
+    assert {e: [r.extra for r in df.collect()] for e, df in found.items()} == {"e0": ["new"], "e4": ["old"], "e5": ["patched"], "e9": []}
+    plan = found["e0"]._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "EqualTo(entity_id,e0)" in plan
