@@ -416,3 +416,18 @@ def test_grouping_holds_no_more_for_a_larger_batch(spark, monkeypatch):
 
     held(512)
     assert held(4096) < 1.3 * held(512)
+
+
+def test_documents_of_a_corpus_made_in_runs(spark, tmp_path, monkeypatch):
+    """The postings of a stored corpus come in runs of GROUPED tokens, and words are found in all of them, without Python."""
+    monkeypatch.setattr(analysis, "GROUPED", 8)
+    docs = spark.createDataFrame([(k, "a b c " + "d " * (k % 2)) for k in range(10)], "doc_id bigint, text string").coalesce(1)
+    stored = search.Corpus.of(docs).stored(f"file://{tmp_path}/corpus")
+    terms = [r.term for r in stored.postings.coalesce(1).collect()]
+    assert len(terms) == 35 and sum(x > y for x, y in zip(terms, terms[1:])) == 4  # two documents a run
+    every, without = search.mini(stored, "a & b & d"), search.rich(stored, "a ! d", search.Stats(10, {"a": 0.5, "d": 0.5}))
+    assert {r.doc_id: (r.n_words, len(r.factors)) for r in every.collect()} == {k: (4, 3) for k in range(1, 10, 2)}
+    assert {r.doc_id: [e.lower for e in r.entries] for r in without.collect()} == {k: [0] for k in range(0, 10, 2)}
+    for df in (every, without):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan
